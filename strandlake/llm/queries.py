@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import load, text_or_empty
 from .exact_dedup import exact_dedup
+from .media import media_columns
 from .mixing import mix_sources
+from .packing import pack_documents
+from .quality import quality_scores
 from .sharding import shard_documents
+from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_columns(load(spark, sf_dir, "documents"))
+    code = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(x))), ".")
+    feature = F.concat_ws("|", code(F.col("peak_times")), code(F.col("peak_codes")))
+    return stored.withColumn("feature", feature).drop("peak_times", "peak_codes")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return dealt.select(
@@ -32,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_exact_dedup, op4_toxicity, op5_quality, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
