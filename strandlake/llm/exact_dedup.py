@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([ordered.schema[c] for c in out] + [T.StructField("__first", T.BooleanType())])
     runs = ordered.select("doc_id", "__text", "__null", "__sha", *extra)
     marked = stage(runs.mapInArrow(on_workers(mark_runs, out), schema), "exact-runs")
-    groups = marked.groupBy("__sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stage(marked.groupBy("__sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     found = marked.join(groups, "__sha").withColumns(
         {"kept": F.col("__first") & F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256": F.lower(F.hex("__sha"))}
     )
