@@ -9,6 +9,7 @@ from .common import load, text_or_empty
 from .exact_dedup import exact_dedup
 from .media import media_columns
 from .mixing import mix_sources
+from .near_dup import jaccard_components
 from .packing import pack_documents
 from .quality import quality_scores
 from .sharding import shard_documents
@@ -20,6 +21,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_exact_dedup, op4_toxicity, op5_quality, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_quality, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
