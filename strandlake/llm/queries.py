@@ -13,6 +13,7 @@ from .near_dup import jaccard_components
 from .packing import pack_documents
 from .quality import quality_scores
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -37,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_columns(load(spark, sf_dir, "documents"))
     code = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(x))), ".")
@@ -69,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_quality, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_quality, op6_suffix_dedup, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
