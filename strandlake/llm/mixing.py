@@ -98,19 +98,18 @@ def _cut(flow: DataFrame, place, budget: float, repeats: int):
     appearances = flow.filter("size > 0").select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("e"), "*").select(place(F.col("e")).alias("p"), "size")
     ordered = stage(appearances.repartitionByRange("p").sortWithinPartitions("p").withColumn("part", F.spark_partition_id()), "mix-order")
     sums = sorted((r["part"], r["words"]) for r in ordered.groupBy("part").agg(F.sum("size").alias("words")).collect())
-    left, at = budget, None
+    left = budget
     for part, words in sums:
-        at = part
         if words > left:
             break
         left -= words
-    if at is None:
-        return None
+    else:
+        part = None
     running = Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    inside = ordered.filter(F.col("part") == at).withColumn("sum", F.sum("size").over(running))
-    last = inside.filter(F.col("sum") <= F.lit(left if sums[-1][0] != at or sums[-1][1] > left else left + sums[-1][1])).agg(F.max("p").alias("p")).first()["p"]
+    inside = ordered.filter(F.col("part") == part).withColumn("sum", F.sum("size").over(running)).filter(F.col("sum") <= left)
+    last = inside.agg(F.max("p").alias("p")).first()["p"] if part is not None else None
     if last is None:
-        last = ordered.filter(F.col("part") < at).agg(F.max("p").alias("p")).first()["p"]
+        last = (ordered if part is None else ordered.filter(F.col("part") < part)).agg(F.max("p").alias("p")).first()["p"]
     return last
 
 

@@ -197,22 +197,24 @@ def fit_logistic(x, y, rounds: int = 50, ridge: float = 1.0):
 DEFAULT_WEIGHTS = (1.0, 0.5, 0.5, 1.5, -2.0, 0.5, 0.2, 0.3, 0.5, -3.0)
 
 
-def score(batches, terms, stems, weights):
-    """doc_id, text, held_out -> doc_id, held_out, score."""
+def score(batches, terms, stems, weights, text_col, out):
+    """Adds the score to the columns out."""
     import numpy as np
     import pyarrow as pa
 
     lexicon, w = Lexicon(terms, stems), np.array(weights)
     for batch in batches:
-        texts = binary_texts(batch.column(1))
+        texts = binary_texts(batch.column(text_col))
         x = np.array([context_scores(t.decode(), lexicon) for t in texts], float).reshape(len(texts), len(FEATURES))
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p)], ["doc_id", "held_out", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(p)], [*out, "score"])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, sample_rows: int = 20_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, sample_rows: int = 20_000, threshold: float = 0.3, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (probability of label 1), predicted (score >= threshold).
 
+    With carry, all columns of docs come along; those named like a result are replaced.
+
     Lexicon and weights are learned from at most sample_rows labelled documents outside the held-out part
     (crc32(doc_id) mod parts = held); every document is scored, from its whole text alone.
 
@@ -235,5 +237,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
         order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
         x = np.array(rows.column("features").to_pylist(), float).reshape(len(y), len(FEATURES))
         weights = fit_logistic(x[order], y[order]).tolist()
-    schema = T.StructType.fromDDL("doc_id long, held_out boolean, score double")
-    return texts.mapInArrow(on_workers(score, terms, stems, weights), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    extra = [c for c in docs.columns if c not in ("doc_id", "held_out", "score", "predicted", id_col, text_col)] if carry else []
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *extra, (remainder(parts, id_col) == held).alias("held_out"))
+    out = [c for c in whole.columns if carry or c != text_col]
+    schema = T.StructType([whole.schema[c] for c in out] + [T.StructField("score", T.DoubleType())])
+    scored = whole.mapInArrow(on_workers(score, terms, stems, weights, text_col, out), schema)
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
