@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import barcode_penalty, find, has_no_stop, is_valid_record, mean_phred, reverse_complement
+from strandlake.tables import settle
 
 ANCHOR, MAX_PENALTY, MIN_MARGIN = 10, 1.0, 1.0
 DISCARDS = ("discard_truncated", "discard_length_indel", "discard_low_quality_cds", "discard_stop_codon")
@@ -54,28 +55,25 @@ def check_rounds(rounds) -> None:
             raise ValueError(f"{r.name}: a forward primer and cds_start <= cds_end are needed")
 
 
-def _candidates(reads: DataFrame, strand: str, rounds, bound: bool) -> DataFrame:
-    """Adds {strand}_hits: (penalty, round, end of the forward primer) of each round whose anchor is in the read.
-
-    One column per round, so no rows are multiplied; the places and the padded barcodes are columns of their
-    own, which keeps the planner from repeating the searches in each comparison."""
-    seq = F.col(f"{strand}_seq")
-    places = {f"__at{i}": find(F.lit(r.anchor), seq) for i, r in enumerate(rounds)}
-    reads = reads.withColumns(places)
+def _hits(reads: DataFrame, rounds, bound: bool) -> DataFrame:
+    """Adds fw_hits and rc_hits: (penalty, round, end of the forward primer) of each round whose anchor is in the
+    read, the best first. One column per round, so no rows are multiplied."""
+    sides = [(s, i, r) for s in ("fw", "rc") for i, r in enumerate(rounds)]
+    placed = settle(reads, {f"__{s}{i}": find(F.lit(r.anchor), F.col(f"{s}_seq")) for s, i, r in sides})
     pads = {}
-    for i, r in enumerate(rounds):
-        at, n = F.col(f"__at{i}"), len(r.barcode)
-        pads[f"__pad{i}"] = F.lpad(seq.substr(F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n))), n, "-") if n else F.lit("")
-    reads = reads.withColumns(pads)
-    hits = []
-    for i, r in enumerate(rounds):
-        here = F.col(f"__at{i}") >= 0
+    for s, i, r in sides:
+        at, n = F.col(f"__{s}{i}"), len(r.barcode)
+        pads[f"__pad_{s}{i}"] = F.lpad(F.col(f"{s}_seq").substr(F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n))), n, "-") if n else F.lit("")
+    padded = settle(placed, pads)
+    hits: dict[str, list[Column]] = {"fw": [], "rc": []}
+    for s, i, r in sides:
+        here = F.col(f"__{s}{i}") >= 0
         if bound:
             here = here & (F.col("bound_round") == i)
-        hit = F.struct(barcode_penalty(F.col(f"__pad{i}"), r.barcode).alias("penalty"), F.lit(i).alias("round_idx"), (F.col(f"__at{i}") + len(r.anchor)).alias("fw_end"))
-        hits.append(F.when(here, hit))
-    found = F.sort_array(F.array_compact(F.array(*hits)))
-    return reads.withColumn(f"{strand}_hits", found).drop(*places, *pads)
+        hit = F.struct(barcode_penalty(F.col(f"__pad_{s}{i}"), r.barcode).alias("penalty"), F.lit(i).alias("round_idx"), (F.col(f"__{s}{i}") + len(r.anchor)).alias("fw_end"))
+        hits[s].append(F.when(here, hit))
+    found = settle(padded, {f"{s}_hits": F.sort_array(F.array_compact(F.array(*h))) for s, h in hits.items()})
+    return found.drop(*[c for c in found.columns if c.startswith("__")])
 
 
 def _verdict(hits: Column) -> Column:
@@ -99,43 +97,51 @@ def assign(reads: DataFrame, rounds, settings: Settings = Settings(), bindings:
     the two reasons. With bindings (source_id to round) a read competes for its own round only."""
     check_rounds(rounds)
     valid = is_valid_record(F.col("header"), F.col("seq"), F.col("sep"), F.col("qual"))
-    out = reads.withColumn("valid", valid).withColumn("read_q", F.when(F.col("valid"), mean_phred(F.col("qual"))))
-    out = out.withColumn("fw_seq", F.upper("seq")).withColumn("rc_seq", reverse_complement(F.col("fw_seq")))
+    out = settle(reads, {"valid": valid, "fw_seq": F.upper("seq")})
+    out = settle(out, {"read_q": F.when(F.col("valid"), mean_phred(F.col("qual"))), "rc_seq": reverse_complement(F.col("fw_seq"))})
     if bindings is not None:
         table = F.create_map(*[F.lit(x) for pair in bindings.items() for x in pair])
         out = out.withColumn("bound_round", F.try_element_at(table, F.col("source_id")))
-    for strand in ("fw", "rc"):
-        out = _candidates(out, strand, rounds, bindings is not None).withColumn(f"{strand}_verdict", _verdict(F.col(f"{strand}_hits")))
+    out = settle(_hits(out, rounds, bindings is not None), {f"{s}_verdict": _verdict(F.col(f"{s}_hits")) for s in ("fw", "rc")})
     forward, backward = F.col("fw_verdict"), F.col("rc_verdict")
-    turned = (forward != "assigned") & (backward == "assigned")
     reason = F.when(_rank(backward) > _rank(forward), backward).otherwise(forward)
     status = F.when(~F.col("valid"), "malformed_fastq").when(F.col("read_q") < settings.min_read_q, "low_quality").otherwise(reason)
-    out = out.withColumn("status", status).withColumn("strand", F.when(F.col("status") == "assigned", F.when(turned, -1).otherwise(1)))
-    hit = F.when(F.col("strand") == 1, F.get("fw_hits", 0)).when(F.col("strand") == -1, F.get("rc_hits", 0))
-    out = out.withColumn("__hit", hit).withColumns(
-        {"round_idx": F.col("__hit.round_idx"), "fw_end": F.col("__hit.fw_end"), "penalty": F.col("__hit.penalty"), "seq_o": F.when(F.col("strand") == -1, F.col("rc_seq")).otherwise(F.col("fw_seq")), "qual_o": F.when(F.col("strand") == -1, F.reverse("qual")).otherwise(F.col("qual"))}
+    out = settle(out, {"status": status})
+    out = settle(out, {"strand": F.when(F.col("status") == "assigned", F.when(forward == "assigned", 1).otherwise(-1))})
+    turned = F.col("strand") == -1
+    best = lambda c: F.when(F.col("strand") == 1, F.get("fw_hits", F.lit(0))[c]).when(turned, F.get("rc_hits", F.lit(0))[c])
+    out = settle(
+        out,
+        {c: best(c) for c in ("round_idx", "fw_end", "penalty")}
+        | {"seq_o": F.when(turned, F.col("rc_seq")).otherwise(F.col("fw_seq")), "qual_o": F.when(turned, F.reverse("qual")).otherwise(F.col("qual"))},
     )
-    return out.drop("__hit", "fw_hits", "rc_hits", "fw_seq", "rc_seq")
+    return out.drop("fw_hits", "rc_hits", "fw_seq", "rc_seq")
 
 
 def extract(assigned: DataFrame, rounds, settings: Settings = Settings()) -> DataFrame:
     """Adds round, cds, cds_q and bucket: the status of an unassigned read, a discard, or passed_qc; dna if passed."""
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("round_idx") + 1)
+
+    def pick(values):
+        out = F.when(F.col("round_idx") == 0, F.lit(values[0]))
+        for i, v in enumerate(values[1:], 1):
+            out = out.when(F.col("round_idx") == i, F.lit(v))
+        return out
+
     begin = F.col("fw_end") + pick([r.cds_start - 1 for r in rounds])
     end = F.col("fw_end") + pick([r.cds_end for r in rounds])
-    out = assigned.withColumns({"round": pick([r.name for r in rounds]), "__begin": begin, "__end": end, "__rv": find(pick([r.rv_anchor for r in rounds]), F.col("seq_o"), F.col("fw_end"))})
+    out = settle(assigned, {"round": pick([r.name for r in rounds]), "__begin": begin, "__end": end, "__rv": find(pick([r.rv_anchor for r in rounds]), F.col("seq_o"), F.col("fw_end"))})
     n = F.col("__end") - F.col("__begin")
     inside = (F.col("__begin") >= 0) & (F.col("__end") <= F.length("seq_o"))
-    cds = F.when(inside, F.col("seq_o").substr(F.col("__begin") + 1, n))
-    out = out.withColumns({"cds": cds, "__cds_qual": F.when(inside, F.col("qual_o").substr(F.col("__begin") + 1, n))}).withColumn("cds_q", mean_phred(F.col("__cds_qual")))
+    part = lambda c: F.when(inside, F.col(c).substr(F.col("__begin") + 1, n))
+    out = settle(out, {"cds": part("seq_o"), "cds_q": mean_phred(part("qual_o"))})
     bucket = F.when(F.col("status") != "assigned", F.col("status")).when(~inside, "discard_truncated")
     if not settings.adaptive:
         bucket = bucket.when((F.col("__rv") >= 0) & (F.col("__end") > F.col("__rv")), "discard_length_indel")
     bucket = bucket.when(n % 3 != 0, "discard_length_indel").when((n > 0) & (F.col("cds_q") < settings.min_cds_q), "discard_low_quality_cds")
     if settings.filter_stop:
         bucket = bucket.when(~has_no_stop(F.col("cds")), "discard_stop_codon")
-    out = out.withColumn("bucket", bucket.otherwise("passed_qc"))
-    return out.withColumn("dna", F.when(F.col("bucket") == "passed_qc", F.col("cds"))).drop("__begin", "__end", "__rv", "__cds_qual")
+    out = settle(out, {"bucket": bucket.otherwise("passed_qc")})
+    return out.withColumn("dna", F.when(F.col("bucket") == "passed_qc", F.col("cds"))).drop("__begin", "__end", "__rv")
 
 
 def demultiplex(reads: DataFrame, rounds, settings: Settings = Settings(), bindings: dict[int, int] | None = None) -> DataFrame:

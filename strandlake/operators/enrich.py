@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import stats as S
 from strandlake.functions.seq import translate
+from strandlake.tables import stage
 
 
 def collapse(counts: DataFrame, rounds, keys: list[str], aa: Column | None = None) -> DataFrame:
@@ -44,11 +45,13 @@ def analyse(
     counts has round, keys, dna, n; denominators has round, keys, passed. With wild (round, keys, wt) the score
     is the ratio to the wild type, and round 0 has one too; else it is the ratio of RPM, from round 1 on.
     Rows with fewer than min_baseline reads in the first round get no test, and neither count for the median nor
-    for the family's false discovery rate.
+    for the family's false discovery rate. The variants are written out twice on the way: reads are scanned once
+    however many comparisons there are.
     """
     keys = keys or []
     first = 0 if wild is not None else 1
-    out = _attach(collapse(counts, rounds, keys, aa), per_round(denominators, "passed", rounds, keys, "n"), keys)
+    collapsed = stage(collapse(counts, rounds, keys, aa), "enrich-counts")
+    out = _attach(collapsed, per_round(denominators, "passed", rounds, keys, "n"), keys)
     if wild is not None:
         out = _attach(out, per_round(wild, "wt", rounds, keys, "w"), keys)
     c = lambda i: F.col(f"c{i}").cast("double")
@@ -72,7 +75,7 @@ def analyse(
     if ks[first:]:
         medians = [S.finite_median(F.when(F.col("eligible"), F.col(f"raw{i}"))).alias(f"median{i}") for i in ks[first:]]
         out = _attach(out, out.groupBy(*keys).agg(*medians) if keys else out.agg(*medians), keys)
-        out = out.withColumns({f"centred{i}": F.col(f"raw{i}") - F.col(f"median{i}") for i in ks[first:]})
+        out = stage(out.withColumns({f"centred{i}": F.col(f"raw{i}") - F.col(f"median{i}") for i in ks[first:]}), "enrich-tests")
     for i in ks[first:]:
         out = S.bh_fdr(out, f"p{i}", f"q{i}", keys)
     return out

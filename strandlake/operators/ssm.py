@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import edit_distance, find, has_no_stop, is_valid_record, mean_phred, reverse_complement
+from strandlake.tables import settle
 
 SITE_BUCKETS = ("discard_roi_indel", "discard_low_q_roi", "discard_frameshift", "discard_stop_codon", "passed_qc")
 
@@ -54,7 +55,7 @@ def banded_match(df: DataFrame, keys: list[str], needle: str, hay: str, out: str
     other rows are exploded into windows, whose distances are cut off at the budget, and gathered by keys.
     """
     exact = find(F.col(needle), F.col(hay))
-    found = df.withColumn("__exact", F.when(F.length(needle) > 0, exact).otherwise(-1))
+    found = settle(df, {"__exact": F.when(F.length(needle) > 0, exact).otherwise(-1)})
     hit = F.when(F.col("__exact") >= 0, F.struct(F.lit(0).alias("score"), F.col("__exact").cast("int").alias("start"), (F.col("__exact") + F.length(needle)).cast("int").alias("end")))
     m, n = F.length(needle), F.length(hay)
     least = F.greatest(m - indels, F.lit(1))
@@ -66,7 +67,7 @@ def banded_match(df: DataFrame, keys: list[str], needle: str, hay: str, out: str
     best = scored.groupBy(*keys).agg(F.min(F.struct("__d", "__start", "__len")).alias("__best"))
     joined = found.join(best, keys, "left")
     near = F.when(F.col("__best").isNotNull(), F.struct(F.col("__best.__d").alias("score"), F.col("__best.__start").alias("start"), (F.col("__best.__start") + F.col("__best.__len")).alias("end")))
-    return joined.withColumn(out, F.coalesce(hit, near)).drop("__exact", "__best")
+    return settle(joined, {out: F.coalesce(hit, near)}).drop("__exact", "__best")
 
 
 def attempts(reads: DataFrame, settings: SsmSettings = SsmSettings()) -> DataFrame:
@@ -97,19 +98,19 @@ def site_calls(tries: DataFrame, sites, settings: SsmSettings = SsmSettings()) -
     table = F.array(*[F.struct(F.lit(i).alias("site_ord"), F.lit(s.name).alias("site"), F.lit(s.fw_anchor).alias("fw"), F.lit(s.rv_anchor).alias("rv"), F.lit(s.roi_len).alias("roi_len")) for i, s in enumerate(sites)])
     spread = tries.withColumn("__s", F.explode(table)).select(*tries.columns, "__s.*")
     first = banded_match(spread, keys, "fw", "seq", "fw_hit", settings.max_subs, settings.max_indels)
-    tail = first.withColumn("__tail", F.when(F.col("fw_hit").isNotNull(), F.col("seq").substr(F.col("fw_hit.end") + 1, F.length("seq"))))
+    tail = settle(first, {"__tail": F.when(F.col("fw_hit").isNotNull(), F.col("seq").substr(F.col("fw_hit.end") + 1, F.length("seq")))})
     both = banded_match(tail, keys, "rv", "__tail", "rv_hit", settings.max_subs, settings.max_indels)
     n = F.col("rv_hit.start")
     roi = F.substr(F.col("__tail"), F.lit(1), n)
     roi_qual = F.col("qual").substr(F.col("fw_hit.end") + 1, n)
-    cut = both.withColumns({"roi": F.when(n.isNotNull(), roi), "__roi_qual": F.when(n.isNotNull(), roi_qual)})
+    cut = settle(both, {"roi": F.when(n.isNotNull(), roi), "__roi_qual": F.when(n.isNotNull(), roi_qual)})
     bucket = F.when(n.isNull(), None).when(n != F.col("roi_len"), "discard_roi_indel")
     if settings.min_roi_q > 0:
         bucket = bucket.when((F.length("__roi_qual") != n) | (mean_phred(F.col("__roi_qual")) < settings.min_roi_q), "discard_low_q_roi")
     bucket = bucket.when(n % 3 != 0, "discard_frameshift")
     if settings.filter_stop:
         bucket = bucket.when(~has_no_stop(F.col("roi")), "discard_stop_codon")
-    called = cut.withColumn("bucket", bucket.otherwise("passed_qc"))
+    called = settle(cut, {"bucket": bucket.otherwise("passed_qc")})
     return called.select("source_id", "ordinal", "strand", "round_idx", "site", "site_ord", "bucket", F.when(F.col("bucket") == "passed_qc", F.col("roi")).alias("dna"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.seq import CODONS, reverse_complement
 from strandlake.operators.demux import Round
 from strandlake.operators.ssm import Site
+from strandlake.tables import settle
 
 BARCODE = "ACGTTGCAAGCTTC"
 ANCHORS = ("GCTCAGATCG", "GCTCAGATTG", "GCTCAGACAG")
@@ -49,20 +50,18 @@ def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = F.when(e % 6 == 2, SELECTED).otherwise(F.concat(codon(u), codon(u * 7 + e % 4), codon(u + e % 3)))
     whole = F.concat(head, cds, F.when(e % 43 == 9, other).otherwise(TAIL))
     kept = F.substring(whole, 1, 300).substr(F.lit(1), F.when(e % 41 == 8, 30).otherwise(300))
-    base = events(spark, sf_dir).select("event_id", kept.alias("sense"))
+    base = settle(events(spark, sf_dir), {"sense": kept})
     n = F.length("sense")
     noisy = F.concat(F.repeat(F.lit("I"), F.lit(24)), F.repeat(F.lit("%"), F.lit(9)), F.repeat(F.lit("I"), F.lit(300))).substr(F.lit(1), n)
     qual = F.when(e % 25 == 3, F.repeat(F.lit("$"), n)).when(e % 17 == 2, noisy).otherwise(F.repeat(F.lit("I"), n))
     anti = e % 10 == 0
-    read = base.select(
-        "event_id", F.when(anti, reverse_complement(F.col("sense"))).otherwise(F.col("sense")).alias("s"), F.when(anti, F.reverse(qual)).otherwise(qual).alias("q")
-    )
+    read = settle(base, {"s": F.when(anti, reverse_complement(F.col("sense"))).otherwise(F.col("sense")), "q": F.when(anti, F.reverse(qual)).otherwise(qual)})
     seq = F.when(e % 53 == 10, F.concat(F.lit("X"), F.substring("s", 2, 300))).when(e % 23 == 11, F.lower("s")).otherwise(F.col("s"))
     name = F.when(e % 50 == 0, e + 3).otherwise(e)
     tag = F.when(e % 7 == 0, "").otherwise(F.concat(F.lit(" qs:f:"), (e % 30).cast("string"), F.lit(".5")))
-    return read.select(
-        (e % 6).cast("int").alias("source_id"), e.alias("ordinal"), F.concat(F.lit("@r"), name.cast("string"), tag).alias("header"), seq.alias("seq"),
-        F.lit("+").alias("sep"), F.when(e % 59 == 12, F.substring("q", 2, 300)).otherwise(F.col("q")).alias("qual"),
+    return settle(read, {"seq": seq, "qual": F.when(e % 59 == 12, F.substring("q", 2, 300)).otherwise(F.col("q"))}).select(
+        (e % 6).cast("int").alias("source_id"), e.alias("ordinal"), F.concat(F.lit("@r"), name.cast("string"), tag).alias("header"), "seq",
+        F.lit("+").alias("sep"), "qual",
     )
 
 
@@ -74,17 +73,18 @@ def site_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = SITES
     fw = F.when(e % 13 == 3, one.fw_anchor[:5] + "A" + one.fw_anchor[6:]).when(e % 17 == 5, one.fw_anchor[:9] + one.fw_anchor[10:]).when(e % 33 == 7, "ACACACACACACACACACA").otherwise(one.fw_anchor)
     first = F.when(e % 4 == 1, one.wt_dna).when((e % 3 == 2) & (e % 5 < 2), "TGG").otherwise(codon(u))
-    first = F.when(e % 21 == 9, F.concat(first, F.lit("A"))).otherwise(first)
+    first = F.when(e % 22 == 9, F.concat(first, F.lit("A"))).otherwise(first)
     second = F.when(e % 4 == 2, two.wt_dna).otherwise(codon(u * 5 + e % 2))
     rv = F.when(e % 47 == 11, F.concat(F.lit(two.rv_anchor[:8]), F.lit("GG"), F.lit(two.rv_anchor[8:]))).otherwise(two.rv_anchor)
     sense = F.concat(barcode, F.lit(FLANK), fw, first, F.lit(one.rv_anchor + FLANK + two.fw_anchor), second, rv, F.lit(FLANK))
-    base = events(spark, sf_dir).filter("event_id % 5 < 2").select("event_id", "user_id", sense.alias("sense"))
+    base = settle(events(spark, sf_dir).filter("event_id % 5 < 2"), {"sense": sense})
     n, anti = F.length("sense"), e % 9 == 0
-    level = F.when(e % 25 == 3, "$").when(e % 16 == 6, "/").otherwise("I")
+    level = F.when(e % 25 == 1, "$").when(e % 16 == 6, "/").otherwise("I")
     qual = F.concat(F.repeat(F.lit("I"), F.lit(43)), F.repeat(level, F.lit(3)), F.repeat(F.lit("I"), F.lit(300))).substr(F.lit(1), n)
-    qual = F.when(e % 25 == 3, F.repeat(F.lit("$"), n)).otherwise(qual)
+    qual = F.when(e % 25 == 1, F.repeat(F.lit("$"), n)).otherwise(qual)
     s = F.when(anti, reverse_complement(F.col("sense"))).otherwise(F.col("sense"))
-    return base.select(
+    seq = F.when(e % 61 == 1, F.concat(F.lit("X"), F.substring(s, 2, 400))).otherwise(s)
+    return settle(base, {"seq": seq, "qual": F.when(anti, F.reverse(qual)).otherwise(qual)}).select(
         (e % 3).cast("int").alias("source_id"), e.alias("ordinal"), F.concat(F.lit("@n"), e.cast("string")).alias("header"),
-        F.when(e % 61 == 1, F.concat(F.lit("X"), F.substring(s, 2, 400))).otherwise(s).alias("seq"), F.lit("+").alias("sep"), F.when(anti, F.reverse(qual)).otherwise(qual).alias("qual"),
+        "seq", F.lit("+").alias("sep"), "qual",
     )
