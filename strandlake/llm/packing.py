@@ -9,6 +9,7 @@ the histogram (at most capacity / unit rows) and the patterns come to the driver
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from pyspark.sql import DataFrame, Window
@@ -19,35 +20,102 @@ from .common import binary_texts, on_workers, stage
 
 END_ID = 1
 _ENCODERS: dict = {}
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+#: Stands for the end of a word in the byte-pair merger; no UTF-8 text holds this byte.
+_WORD_END = b"\xff"
+#: The tokenizer's own pattern, for the letters that _PLAIN admits.
+_PLAIN = re.compile("[!-~\u00df-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
 class WordEncoder:
     """Token ids of whole texts. This tokenizer drops white space and never joins across it, so a text's ids
-    are those of its blank-separated words one after the other; each distinct word is encoded once."""
+    are those of its blank-separated words one after the other, and each distinct word is encoded once.
+
+    A word of printable ASCII and small Latin-1 letters is lower-cased and cut by the tokenizer's own pattern, and
+    the pieces are merged by a compiled byte-pair merger over the tokenizer's own merges; any other word goes
+    through the tokenizer as it is. Tests hold both ways together.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        import numpy as np
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letter = {c: bytes([b]) for b, c in _byte_letters().items()}
+
+        def as_bytes(token: str) -> bytes:
+            end = token.endswith("</w>")
+            return b"".join(letter[c] for c in (token[:-4] if end else token)) + _WORD_END * end
+
+        # Ends of words are merged first, then the merges in their order; single bytes are never merged into.
+        ranks = {bytes([b]) + _WORD_END: b for b in range(255)}
+        ids = {b: model["vocab"][c + "</w>"] for b, c in _byte_letters().items() if b < 255}
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        for i, (x, y) in enumerate(merges):
+            token = as_bytes(x + y)
+            if token not in ranks:
+                ranks[token] = 256 + i
+                ids[256 + i] = model["vocab"][x + y]
+        single = 256 + len(merges)
+        for b, c in _byte_letters().items():
+            ranks[bytes([b])] = single + b
+            ids[single + b] = model["vocab"][c]
+        self.id_of = np.zeros(single + 256, "<u4")
+        for rank, i in ids.items():
+            self.id_of[rank] = i
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, text: bytes) -> bytes:
-        import numpy as np
-
-        words, known = text.split(), self.known
-        fresh = [w for w in set(words) if w not in known]
+        words, known = text.split(), self.words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            pass
+        if len(known) > _CACHE_WORDS:
+            known.clear()
         extra = {}
-        if fresh:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                fresh = list(set(words))
-            found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            for w, e in zip(fresh, found, strict=True):
-                (known if len(w) <= 64 else extra)[w] = np.array(e.ids, "<u4").tobytes()
+        for w in {w for w in words if w not in known}:
+            (known if len(w) <= 64 else extra)[w] = self._word(w)
         if extra:
             return b"".join([extra[w] if w in extra else known[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode().lower()
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return self.whole(word)
+        pieces = self.pieces
+        out = []
+        for piece in _PIECES.findall(text):
+            got = pieces.get(piece)
+            if got is None:
+                got = self.id_of[self.merge(piece.encode() + _WORD_END)].tobytes()
+                if len(pieces) > _CACHE_WORDS:
+                    pieces.clear()
+                if len(piece) <= 64:
+                    pieces[piece] = got
+            out.append(got)
+        return b"".join(out)
+
+    def whole(self, word: bytes) -> bytes:
+        """The word through the tokenizer itself."""
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
