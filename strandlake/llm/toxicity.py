@@ -101,7 +101,7 @@ class Lexicon:
         if len(self.seen) > _CACHE_WORDS:
             self.seen.clear()
             self.hits.clear()
-        for w in distinct - self.seen.keys():
+        for w in [w for w in distinct if w not in self.seen]:
             k = self.seen[w] = self.kind(w)
             if k:
                 self.hits.add(w)
