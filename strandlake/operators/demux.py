@@ -51,8 +51,10 @@ def check_rounds(rounds) -> None:
     if not names or len(set(names)) < len(names):
         raise ValueError("rounds need names, each of them once")
     for r in rounds:
-        if not r.fw_primer or r.cds_end < r.cds_start:
-            raise ValueError(f"{r.name}: a forward primer and cds_start <= cds_end are needed")
+        if not r.fw_primer or set(r.fw_primer + r.rv_primer) - set("ACGTNacgtn"):
+            raise ValueError(f"{r.name}: primers are of A, C, G, T and N")
+        if r.cds_end < r.cds_start:
+            raise ValueError(f"{r.name}: cds_start <= cds_end is needed")
 
 
 def _hits(reads: DataFrame, rounds, bound: bool) -> DataFrame:
@@ -70,7 +72,7 @@ def _hits(reads: DataFrame, rounds, bound: bool) -> DataFrame:
         here = F.col(f"__{s}{i}") >= 0
         if bound:
             here = here & (F.col("bound_round") == i)
-        hit = F.struct(barcode_penalty(F.col(f"__pad_{s}{i}"), r.barcode).alias("penalty"), F.lit(i).alias("round_idx"), (F.col(f"__{s}{i}") + len(r.anchor)).alias("fw_end"))
+        hit = F.struct(barcode_penalty(f"__pad_{s}{i}", r.barcode).alias("penalty"), F.lit(i).alias("round_idx"), (F.col(f"__{s}{i}") + len(r.anchor)).alias("fw_end"))
         hits[s].append(F.when(here, hit))
     found = settle(padded, {f"{s}_hits": F.sort_array(F.array_compact(F.array(*h))) for s, h in hits.items()})
     return found.drop(*[c for c in found.columns if c.startswith("__")])

@@ -13,6 +13,7 @@ from strandlake.operators import dashboard as H
 from strandlake.operators import demux as A
 from strandlake.operators import enrich as E
 from strandlake.operators import ssm as B
+from strandlake.operators import targeted as T
 from strandlake.sources import derive as D
 from strandlake.tables import stage
 
@@ -220,10 +221,8 @@ def haplotype_fitness(spark, sf_dir):
 
 
 def readid_dedup(spark, sf_dir):
-    from strandlake.operators.targeted import first_reads
-
     reads = D.short_reads(spark, sf_dir)
-    return first_reads(reads, {i: i % 3 for i in range(6)}).select("ordinal", "round_idx", "read_id", "duplicate")
+    return T.first_reads(reads, {i: i % 3 for i in range(6)}).select("ordinal", "round_idx", "read_id", "duplicate")
 
 
 def exact_codon_table(spark, sf_dir):
@@ -326,6 +325,38 @@ def round_totals(spark, sf_dir):
     return _aa_counts(spark, sf_dir).filter("n > 0").groupBy("round").agg(F.sum("n").alias("reads"), F.count(F.lit(1)).alias("distinct_aa"))
 
 
+def _aligned(spark, sf_dir):
+    reference, targets = T.resolve_targets(D.REFERENCE, D.TARGET_SITES)
+    reads = T.first_reads(D.amplicon_reads(spark, sf_dir), {i: i for i in range(3)})
+    return T.align_targets(reads, reference, targets), targets
+
+
+def targeted_align(spark, sf_dir):
+    return _aligned(spark, sf_dir)[0].select("ordinal", "drop", "strand", "score", "read_start", "read_end", "cigar", "band", "qc_passed", "haplotype")
+
+
+def targeted_calls(spark, sf_dir):
+    return T.site_calls(_aligned(spark, sf_dir)[0]).select("ordinal", "site", "status", "dna", "aa", "min_q", "counted", "rescued")
+
+
+def targeted_funnel(spark, sf_dir):
+    return T.file_funnel(_aligned(spark, sf_dir)[0])
+
+
+def targeted_site_funnel(spark, sf_dir):
+    aligned, targets = _aligned(spark, sf_dir)
+    return T.site_funnel(T.site_calls(aligned), targets)
+
+
+def targeted_matrix(spark, sf_dir):
+    counts = stage(T.target_counts(T.site_calls(_aligned(spark, sf_dir)[0]), NAMES), "target-counts")
+    return E.target_matrix(counts, _passed(counts, "site"), NAMES)
+
+
+def targeted_combinations(spark, sf_dir):
+    return E.combination_matrix(stage(T.combination_counts(_aligned(spark, sf_dir)[0], NAMES), "combinations"), NAMES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -335,6 +366,7 @@ QUERIES = {
         ssm_site_counts, ssm_haplotypes, wt_fitness, site_scoped_fdr, eligibility_gate, haplotype_fitness, readid_dedup, exact_codon_table,
         exact_combination_table, combination_label, gini, power_law_slope, count_histogram, histogram_fit, logo_information, target_logo,
         rank_abundance, top_bottom_n, volcano_points, scatter_points, yates_chi2, fisher_exact, sankey_links, q_quantiles, zero_coverage,
-        shard_union_invariance, round_totals,
+        shard_union_invariance, round_totals, targeted_align, targeted_calls, targeted_funnel, targeted_site_funnel, targeted_matrix,
+        targeted_combinations,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.seq import CODONS, reverse_complement
+from strandlake.functions.seq import CODONS, STOPS, reverse_complement
 from strandlake.operators.demux import Round
 from strandlake.operators.ssm import Site
 from strandlake.tables import settle
@@ -88,3 +88,38 @@ def site_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 3).cast("int").alias("source_id"), e.alias("ordinal"), F.concat(F.lit("@n"), e.cast("string")).alias("header"),
         "seq", F.lit("+").alias("sep"), "qual",
     )
+
+
+def _reference(length: int = 300, state: int = 0x5EED1234) -> str:
+    """Sense codons from a linear congruential sequence."""
+    sense = [c for c in CODONS if c not in STOPS]
+    out = []
+    for _ in range(length // 3):
+        state = (1664525 * state + 1013904223) % 2**32
+        out.append(sense[state % len(sense)])
+    return "".join(out)
+
+
+REFERENCE = _reference()
+TARGET_SITES = [("T1", 61, 3), ("T2", 181, 3)]
+
+
+def amplicon_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, ordinal, header, seq, sep, qual: full amplicons with two mutated codons and all kinds of damage."""
+    e, u = F.col("event_id"), F.col("user_id")
+    part = lambda a, b: F.lit(REFERENCE[a:b])
+    one = F.when(e % 4 == 1, REFERENCE[60:63]).when((e % 3 == 2) & (e % 2 == 0), "TGG").otherwise(codon(u))
+    two = F.when(e % 4 == 2, REFERENCE[180:183]).otherwise(codon(u * 5 + e % 2))
+    near = F.when(e % 11 == 4, part(63, 110)).when(e % 13 == 5, F.concat(part(63, 90), F.lit("AC"), part(90, 120))).when(e % 17 == 6, F.concat(part(63, 80), part(81, 120))).otherwise(part(63, 120))
+    whole = F.concat(part(0, 60), one, near, part(120, 180), two, part(183, 300))
+    sense = F.when(e % 41 == 8, F.substring(whole, 1, 200)).when(e % 43 == 9, F.concat(whole, whole)).when(e % 47 == 3, F.concat(F.lit("GATTACA"), whole, F.lit("CCCTTT"))).otherwise(whole)
+    base = settle(events(spark, sf_dir).filter("event_id % 10 < 2"), {"sense": sense})
+    n, anti = F.length("sense"), e % 9 == 0
+    noisy = F.concat(F.repeat(F.lit("I"), F.lit(60)), F.repeat(F.lit("'"), F.lit(3)), F.repeat(F.lit("I"), F.lit(700))).substr(F.lit(1), n)
+    qual = F.when(e % 31 == 3, F.repeat(F.lit("$"), n)).when(e % 16 == 6, noisy).otherwise(F.repeat(F.lit("I"), n))
+    turned = settle(base, {"s": F.when(anti, reverse_complement(F.col("sense"))).otherwise(F.col("sense")), "q": F.when(anti, F.reverse(qual)).otherwise(qual)})
+    name = F.when(e % 50 == 0, e + 30).otherwise(e)
+    return turned.select(
+        (e % 3).cast("int").alias("source_id"), e.alias("ordinal"), F.concat(F.lit("@t"), name.cast("string")).alias("header"),
+        F.when(e % 53 == 10, F.concat(F.lit("X"), F.substring("s", 2, 700))).otherwise(F.col("s")).alias("seq"), F.lit("+").alias("sep"), F.col("q").alias("qual"),
+    )
