@@ -122,7 +122,7 @@ def site_matrix(counts: DataFrame, denominators: DataFrame, wild: DataFrame, rou
 
 
 def haplotype_aa(separator: str) -> Column:
-    return F.array_join(F.transform(F.split("dna", f"[{separator}]"), translate), separator)
+    return F.array_join(F.transform(F.split("dna", f"[{separator}]"), lambda x: translate(x)), separator)
 
 
 def haplotype_matrix(counts: DataFrame, wild: DataFrame, rounds, p: float = S.PSEUDOCOUNT) -> DataFrame:

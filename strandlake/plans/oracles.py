@@ -124,7 +124,7 @@ base AS (SELECT w.*, b.c AS c0, b.tot AS tot0, b.wt AS wt0, p.c AS cp, p.tot AS
   LEFT JOIN withn p ON p.aa = w.aa {'AND p.' + keys + ' = w.' + keys if keys else ''} AND p.round = CASE w.round WHEN 'Round_1' THEN 'Round_0' WHEN 'Round_2' THEN 'Round_1' END),
 sc AS (SELECT *, {_rpm('c', 'tot')} AS rpm, log2(({_rpm('c', 'tot')} + 0.5e0) / ({_rpm('cp', 'totp')} + 0.5e0)) AS step, {score} AS raw, ({ok}) AS eligible, 0.5e0 * tot / 1000000.0e0 AS q, 0.5e0 * tot0 / 1000000.0e0 AS q0 FROM base),
 va AS (SELECT *, CASE WHEN eligible THEN (1.0e0 / ln(2.0e0)) * (1.0e0 / ln(2.0e0)) * ({var}) END AS var, coalesce(median(raw) FILTER (eligible) OVER ({family}), 0) AS med FROM sc),
-zz AS (SELECT *, raw - med AS centred, raw / greatest(sqrt(var), 1e-12) AS z FROM va),
+zz AS (SELECT *, raw - med AS centred, CASE WHEN eligible THEN raw / greatest(sqrt(var), 1e-12) END AS z FROM va),
 pp AS (SELECT *, {_p_of('z')} AS p FROM zz),
 rk AS (SELECT *, row_number() OVER ({family} ORDER BY p) AS pos, count(p) OVER ({family}) AS m FROM pp),
 st AS (SELECT *, CASE WHEN p IS NOT NULL THEN min(least(1.0e0, p * m / pos)) OVER ({family} ORDER BY p DESC, pos DESC ROWS UNBOUNDED PRECEDING) END AS qv FROM rk)"""
