@@ -158,8 +158,10 @@ def label_words(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([toxic[w] for w in total], pa.int64())], ["entry", "n", "n_toxic"])
 
 
-def learn_lexicon(known: DataFrame, most_terms: int = 2000, least: int = 6, share: float = 0.8) -> Lexicon:
-    """Words and stems that appear in at least least toxic texts, with share of their texts toxic."""
+def learn_lexicon(known: DataFrame, toxic: int, most_terms: int = 2000, share: float = 0.8) -> Lexicon:
+    """Words and stems with share of their texts toxic, that appear in at least 4 of the toxic texts and in 3 of
+    a thousand: the more texts, the more words are in toxic ones only by chance."""
+    least = max(4, -(-3 * toxic // 1000))
     counted = known.select("text", "label").mapInArrow(on_workers(label_words), "entry string, n long, n_toxic long")
     summed = counted.groupBy("entry").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     rare = summed.filter((F.col("n_toxic") >= least) & (F.col("n_toxic") >= share * F.col("n")))
@@ -228,7 +230,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (remainder(parts, id_col) == held).alias("held_out"))
     chosen = training_rows(labels, label, parts, held, sample_rows)
     known = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    lexicon = learn_lexicon(known)
+    lexicon = learn_lexicon(known, chosen.agg(F.sum("label").alias("n")).first()["n"] or 0)
     terms, stems = sorted(lexicon.terms), sorted(lexicon.stems)
     rows = known.mapInArrow(on_workers(measure, terms, stems), "doc_id long, label int, features array<double>").toArrow()
     y = rows.column("label").to_numpy().astype(float)

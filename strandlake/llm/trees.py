@@ -35,7 +35,7 @@ def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
     """Up to bins - 1 cuts for each feature, halfway between neighbouring quantiles."""
     out = []
     for column in x.T:
-        values = np.unique(np.quantile(column, np.linspace(0, 1, bins + 1), method="nearest"))
+        values = np.unique(np.quantile(column, np.linspace(0, 1, bins), method="nearest"))
         out.append((values[:-1] + values[1:]) / 2)
     return out
 
