@@ -73,22 +73,34 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def survey(batches, width: int, frequent: int):
-    """doc_id, text -> doc_id, n, digest; and rows without n: shingles that at least frequent texts of a chunk have."""
+def shingle_keys(hashes, parts: int):
+    """The part of each shingle and its key: the part and the upper half of the hash. Shingles that share a key
+    are counted and ordered together, everywhere alike."""
+    import numpy as np
+
+    part = (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+    return part, (part << np.uint64(32)) | (hashes >> np.uint64(32))
+
+
+def survey(batches, width: int, parts: int):
+    """doc_id, text -> a row per document: doc_id, n, digest, node; and packed counts of shingles for each part."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["doc_id", "n", "digest", "node", "shingle", "texts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["part", "doc_id", "n", "digest", "node", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def table(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def common():
+    def counted():
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= frequent
-        none = [None] * int(often.sum())
-        return table(none, none, none, none, values[often].view(np.int64), counts[often])
+        part, key = shingle_keys(values, parts)
+        at = np.argsort(key)
+        upper, counts, part = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts[at], 65535).astype(np.uint16), part[at].astype(np.int64)
+        keys, starts = np.unique(part, return_index=True)
+        none = [None] * len(keys)
+        return table(keys, none, none, none, none, [upper[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
 
     held, size, seen = [], 0, set()
     for batch in batches:
@@ -103,15 +115,65 @@ def survey(batches, width: int, frequent: int):
                 held.append(h)
                 size += len(h)
             if size > _CHUNK:
-                yield common()
+                yield counted()
                 held, size, seen = [], 0, set()
-        none = [None] * len(ids)
-        yield table(ids, ns, digests, [node_of(d) for d in digests], none, none)
-    if held:
-        yield common()
+        nodes = [node_of(d) for d in digests]
+        yield table([x % parts for x in nodes], ids, ns, digests, nodes, [None] * len(ids))
+    if size:
+        yield counted()
 
 
-def replicate(batches, width: int, percent: int, order, parts: int):
+def count_shingles(batches, least: int):
+    """The rows of a part -> the documents as they are, and shingle keys that at least least texts have."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    names = ["doc_id", "n", "digest", "node", "key", "texts"]
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if packed is not None:
+                n = len(packed) // 6
+                parts.setdefault(part, []).append((np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)))
+        docs = batch.filter(pa.compute.is_valid(batch.column("node")))
+        if docs.num_rows:
+            none = pa.nulls(docs.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.column(c) for c in names[:4]] + [none, none], names)
+    for part in list(parts):
+        upper, counts = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
+        values, place = np.unique(upper, return_inverse=True)
+        total = np.bincount(place, counts).astype(np.int64)
+        often = total >= least
+        if often.any():
+            none = pa.nulls(int(often.sum()), pa.int64())
+            keys = (np.int64(part) << 32) | values[often].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.array(keys), pa.array(total[often])], names)
+
+
+def frequent_shingles(counts: DataFrame, most: int):
+    """Keys (sorted) and counts of the most frequent shingles, at most `most`. Without a count in common they are
+    cut by key. They only set the order of the pivots, so the bound costs time and never a link."""
+    import numpy as np
+
+    top = 10_000
+    tally = counts.groupBy(F.least("texts", F.lit(top)).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = None, 0
+    for t, n in sorted(((r["t"], r["n"]) for r in tally), reverse=True):
+        if total + n > most:
+            break
+        least, total = t, total + n
+    if least is None:
+        kept = counts.orderBy(F.col("texts").desc(), "key").limit(most if tally else 0)
+    else:
+        kept = counts.filter(F.col("texts") >= least)
+    rows = kept.select("key", "texts").toArrow()
+    keys, texts = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order].astype(np.uint64), np.minimum(texts[order], 2**31).astype(np.uint32)
+
+
+def replicate(batches, width: int, percent: int, keys, texts, key_parts: int, parts: int):
     """text -> for each part of the shingles, packed entries (shingle, set, size) of the pivots a set goes to.
 
     A set of n shingles that is linked with one of m <= n shares at least percent of n, so one of its first
@@ -121,7 +183,6 @@ def replicate(batches, width: int, percent: int, order, parts: int):
     import numpy as np
     import pyarrow as pa
 
-    frequent = np.asarray(order, np.uint64)  # sorted; searchsorted finds a frequent shingle
     held, seen, size = [], set(), 0
 
     def packed():
@@ -142,10 +203,11 @@ def replicate(batches, width: int, percent: int, order, parts: int):
             if not n or d in seen:
                 continue
             seen.add(d)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                late = frequent[at] == h
-                h = np.concatenate([h[~late], h[late]])
+            if len(keys):
+                _, key = shingle_keys(h, key_parts)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                late = keys[at] == key
+                h = np.concatenate([h[~late], h[late][np.argsort(texts[at[late]], kind="stable")]])
             first = h[: n - -(-percent * n // 100) + 1]
             core = n - -(-2 * percent * n // (100 + percent)) + 1
             sizes = np.full(len(first), 2 * n, np.uint32)
@@ -238,6 +300,19 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
 
 
+def shared_only(sets):
+    """The sets without the shingles that no other of them holds."""
+    import numpy as np
+
+    flat = np.concatenate(sets)
+    flat.sort()
+    twice = np.unique(flat[1:][flat[1:] == flat[:-1]])
+    del flat
+    if not len(twice):
+        return [s[:0] for s in sets]
+    return [s[twice[np.minimum(np.searchsorted(twice, s), len(twice) - 1)] == s] for s in sets]
+
+
 def join_regions(sets, percent: int):
     """The component (its smallest index) of each of several sets of sorted hashes, where two sets are linked
     if 100 * intersection >= percent * union."""
@@ -248,35 +323,39 @@ def join_regions(sets, percent: int):
     if m == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [0, 0] if 100 * shared >= percent * (sizes.sum() - shared) else [0, 1]
+    sets = shared_only(sets)
+    kept = np.array([len(s) for s in sets], np.int64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.concatenate([[0], np.cumsum(kept)])
     order = np.argsort(ids, kind="stable")
-    holders = np.repeat(np.arange(m), sizes)[order]
+    holders = np.repeat(np.arange(m), kept)[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
     radius = 1 - percent / 100
 
     def compare(i: int):
-        """Which sets are linked with set i, and the distances to it."""
+        """The sets that share a shingle with set i, which of them are linked with it, and their distances."""
         mine = ids[starts[i] : starts[i + 1]]
         begin, count = first[mine], first[mine + 1] - first[mine]
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        shared = np.bincount(holders[at], minlength=m)
-        united = sizes + sizes[i] - shared
-        return 100 * shared >= percent * united, 1 - shared / united
+        near, shared = np.unique(holders[at], return_counts=True) if len(mine) else (np.array([i]), np.array([sizes[i]]))
+        shared[near == i] = sizes[i]
+        united = sizes[near] + sizes[i] - shared
+        return near, 100 * shared >= percent * united, 1 - shared / united
 
     covered, probed = np.zeros(m, bool), np.zeros(m, bool)
     regions = []
     for p in range(m):
         if covered[p]:
             continue
-        linked, far = compare(p)
+        near, linked, far = compare(p)
         probed[p] = True
-        ball = np.flatnonzero(linked)
+        ball = near[linked]
         for x in ball:
             union.join(p, int(x))
         covered[ball] = True
-        reach = np.flatnonzero(far <= far[ball].max() + radius + 1e-9)
-        regions.append((ball, far[ball], reach, far[reach]))
+        if len(ball) > 1:
+            reach = far <= far[linked].max() + radius + 1e-9
+            regions.append((ball, far[linked], near[reach], far[reach]))
     for ball, inside, reach, outside in regions:
         for x, d in zip(reach.tolist(), outside.tolist(), strict=True):
             if probed[x]:
@@ -286,7 +365,8 @@ def join_regions(sets, percent: int):
             if all(union.find(y) == mine for y in window):
                 continue
             probed[x] = True
-            for y in np.flatnonzero(compare(x)[0]):
+            near, linked, _ = compare(x)
+            for y in near[linked]:
                 union.join(x, int(y))
     return [union.find(i) for i in range(m)]
 
@@ -297,9 +377,8 @@ def solve(batches, width: int, percent: int):
 
     def solved(rows):
         found = {}
-        for doc, key, text in rows:
-            h = shingles(text, width)
-            if digest(h) == key and (key not in found or doc < found[key][0]):
+        for doc, key, h in rows:
+            if key not in found or doc < found[key][0]:
                 found[key] = doc, h
         keys = sorted(found, key=lambda k: found[k][0])
         roots = join_regions([found[k][1] for k in keys], percent) if len(keys) > 1 else [0] * len(keys)
@@ -312,7 +391,9 @@ def solve(batches, width: int, percent: int):
                 out += solved(rows)
                 rows = []
             now = group
-            rows.append((doc, key, text))
+            h = shingles(text, width)
+            if digest(h) == key:
+                rows.append((doc, key, h))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["digest", "component_id"])
             out = []
@@ -321,12 +402,13 @@ def solve(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["digest", "component_id"])
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 8, most_frequent: int = 65_536, part_entries: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
     Sets hold 64-bit hashes of the word shingles (A-Z lower-cased, words between ASCII blanks). Equal sets are
-    linked and joined once. The most_frequent shingles that many texts have come last in the order of the
-    pivots; that bounds what is broadcast and has no influence on the result.
+    linked and joined once. Shingles that frequent_texts texts or more have come last in the order of the
+    pivots, by their number of texts, as far as most_frequent of them go; that bounds what is broadcast, and the
+    order has no influence on the result.
 
     - null, empty or blank text: n_shingles 0, linked with nothing: component_id is its own doc_id.
     - texts of fewer than width words: one shingle, linked with equal texts only.
@@ -336,14 +418,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequ
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stage(texts.mapInArrow(on_workers(survey, width, frequent_texts), "doc_id long, n long, digest binary, node long, shingle long, texts long"), "near-survey")
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    key_parts = max(at_least, size // (8 * part_entries) + 1)
+    surveyed = texts.mapInArrow(on_workers(survey, width, key_parts), "part long, doc_id long, n long, digest binary, node long, counts binary")
+    counted = surveyed.repartition(key_parts, "part").mapInArrow(on_workers(count_shingles, frequent_texts), "doc_id long, n long, digest binary, node long, key long, texts long")
+    seen = stage(counted, "near-survey")
     sets = seen.filter("n is not null").select("doc_id", "n", "digest", "node")
-    common = seen.filter("n is null").groupBy("shingle").agg(F.sum("texts").alias("texts")).orderBy(F.col("texts").desc(), "shingle").limit(most_frequent)
-    order = sorted(r["shingle"] & 0xFFFFFFFFFFFFFFFF for r in common.select("shingle").collect())
+    keys, often = frequent_shingles(seen.filter("key is not null").select("key", "texts"), most_frequent)
 
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // part_entries + 1)
-    entries = texts.select("text").mapInArrow(on_workers(replicate, width, percent, order, parts), "part long, entries binary")
+    parts = max(at_least, total * (100 - percent) // 100 // part_entries + 1)
+    entries = texts.select("text").mapInArrow(on_workers(replicate, width, percent, keys, often, key_parts, parts), "part long, entries binary")
     edges = entries.repartition(parts, "part").mapInArrow(on_workers(region_edges, percent), "a long, b long")
     stars = connected(edges)
     groups = stars.select(F.col("a").alias("node"), F.col("b").alias("group")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
