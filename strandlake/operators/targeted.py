@@ -271,6 +271,6 @@ def site_funnel(calls: DataFrame, targets: list[Target]) -> DataFrame:
     indel = state.isin("target_insertion", "target_deletion")
     return calls.groupBy("round_idx", "site").agg(
         *[F.count_if(state == s).alias(s) for s in ("low_quality", "not_covered", "ambiguous", "stop_codon")],
-        F.count_if(indel).alias("target_indel"), F.count_if("counted").alias("passed_qc"), F.count_if("counted and qc_passed").alias("callable_full"),
-        F.count_if("counted and not qc_passed").alias("callable_rescued"), F.count_if(F.col("counted") & (F.col("aa") == F.element_at(wild, F.col("site")))).alias("wt_count"),
+        F.count_if(indel).alias("target_indel"), F.count_if("counted").alias("passed_qc"), F.count_if(F.expr("counted and qc_passed")).alias("callable_full"),
+        F.count_if(F.expr("counted and not qc_passed")).alias("callable_rescued"), F.count_if(F.col("counted") & (F.col("aa") == F.element_at(wild, F.col("site")))).alias("wt_count"),
     )
