@@ -23,8 +23,8 @@ from .common import binary_texts, on_workers, stage
 
 #: Odd multipliers of the words of a shingle, from the fractional parts of square roots.
 _MIX = (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
-_CACHE_WORDS = 500_000
-_CHUNK = 2_000_000
+_CACHE_WORDS = 250_000
+_CHUNK = 1_500_000
 
 
 class _Words(dict):
@@ -402,22 +402,9 @@ def solve(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["digest", "component_id"])
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
-
-    Sets hold 64-bit hashes of the word shingles (A-Z lower-cased, words between ASCII blanks). Equal sets are
-    linked and joined once. Shingles that frequent_texts texts or more have come last in the order of the
-    pivots, by their number of texts, as far as most_frequent of them go; that bounds what is broadcast, and the
-    order has no influence on the result.
-
-    - null, empty or blank text: n_shingles 0, linked with nothing: component_id is its own doc_id.
-    - texts of fewer than width words: one shingle, linked with equal texts only.
-    - null doc_id: linked like others, never the smallest unless there is no other.
-    - repeated rows: linked with each other. Very long texts: whole. empty table: no rows.
-    - further columns are ignored.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def candidates(texts: DataFrame, percent: int, width: int, frequent_texts: int, most_frequent: int, part_entries: int):
+    """The sets of texts (doc_id, n, digest, node), and the groups (node, group) of those that meet in a region."""
+    spark = texts.sparkSession
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     key_parts = max(at_least, size // (8 * part_entries) + 1)
@@ -432,9 +419,45 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequ
     entries = texts.select("text").mapInArrow(on_workers(replicate, width, percent, keys, often, key_parts, parts), "part long, entries binary")
     edges = entries.repartition(parts, "part").mapInArrow(on_workers(region_edges, percent), "a long, b long")
     stars = connected(edges)
-    groups = stars.select(F.col("a").alias("node"), F.col("b").alias("group")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
+    return sets, stars.select(F.col("a").alias("node"), F.col("b").alias("group")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, large_group: int = 1000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
+    Sets hold 64-bit hashes of the word shingles (A-Z lower-cased, words between ASCII blanks). Equal sets are
+    linked and joined once. Shingles that frequent_texts texts or more have come last in the order of the
+    pivots, by their number of texts, as far as most_frequent of them go; that bounds what is broadcast, and the
+    order has no influence on the result.
+
+    A group of more than large_group candidates is split by making regions among its members anew, at most rounds
+    times, before its sets are joined.
+
+    - null, empty or blank text: n_shingles 0, linked with nothing: component_id is its own doc_id.
+    - texts of fewer than width words: one shingle, linked with equal texts only.
+    - null doc_id: linked like others, never the smallest unless there is no other.
+    - repeated rows: linked with each other. Very long texts: whole. empty table: no rows.
+    - further columns are ignored.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    limits = (percent, width, frequent_texts, most_frequent, part_entries)
+    sets, groups = candidates(texts, *limits)
     firsts = stage(sets.filter("n > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("first")), "near-sets")
+    groups = stage(groups, "near-groups")
+    # Regions of a large group are made anew among its members alone, whose own counts order the pivots.
+    for _ in range(rounds):
+        large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > large_group)
+        inside = stage(groups.join(large.select("group"), "group", "left_semi"), "near-large-groups")
+        before = inside.count()
+        if not before:
+            break
+        ids = firsts.join(inside, "node").select(F.col("first").alias("doc_id")).filter("doc_id is not null")
+        again = stage(candidates(stage(texts.join(ids, "doc_id", "left_semi"), "near-large-texts"), *limits)[1], "near-groups")
+        groups = stage(groups.join(inside.select("node"), "node", "left_anti").union(again.join(inside.select("node"), "node", "left_semi")), "near-groups")
+        largest = again.groupBy("group").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0
+        if largest > 0.9 * before:
+            break
+
     members = firsts.filter("first is not null").join(groups, "node").select("group", "digest", F.col("first").alias("doc_id"))
     grouped = texts.join(members, "doc_id").select("group", "doc_id", "digest", "text").repartition("group").sortWithinPartitions("group")
     solved = grouped.mapInArrow(on_workers(solve, width, percent), "digest binary, component_id long")
