@@ -77,7 +77,7 @@ def site_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(e % 4 == 2, two.wt_dna).otherwise(codon(u * 5 + e % 2))
     rv = F.when(e % 47 == 11, F.concat(F.lit(two.rv_anchor[:8]), F.lit("GG"), F.lit(two.rv_anchor[8:]))).otherwise(two.rv_anchor)
     sense = F.concat(barcode, F.lit(FLANK), fw, first, F.lit(one.rv_anchor + FLANK + two.fw_anchor), second, rv, F.lit(FLANK))
-    base = settle(events(spark, sf_dir).filter("event_id % 5 < 2"), {"sense": sense})
+    base = settle(events(spark, sf_dir), {"sense": sense})
     n, anti = F.length("sense"), e % 9 == 0
     level = F.when(e % 25 == 1, "$").when(e % 16 == 6, "/").otherwise("I")
     qual = F.concat(F.repeat(F.lit("I"), F.lit(43)), F.repeat(level, F.lit(3)), F.repeat(F.lit("I"), F.lit(300))).substr(F.lit(1), n)
