@@ -1,4 +1,4 @@
-"""Engine B over every event of a small table, against reads and calls made in plain Python."""
+"""Engines B and C over every event of a small table; engine B against reads and calls made in plain Python."""
 
 import re
 from collections import Counter
@@ -121,3 +121,10 @@ def test_haplotypes_of_all_events(spark, small, brute):
 def test_attempts_of_all_events(spark, small, brute):
     got = QUERIES["ssm_attempt_funnel"](spark, small).first().asDict()
     assert got == {k: brute[2][k] for k in got} and sum(got.values()) > 0
+
+
+def test_every_event_is_aligned_and_counted(spark, small):
+    reads = D.amplicon_reads(spark, small).collect()
+    assert sorted(r.ordinal for r in reads) == [e for e, _ in EVENTS]
+    assert sorted(r.ordinal for r in QUERIES["targeted_align"](spark, small).collect()) == [e for e, _ in EVENTS]
+    assert sum(r.total_reads for r in QUERIES["targeted_funnel"](spark, small).collect()) == len(EVENTS)
