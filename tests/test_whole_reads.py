@@ -128,3 +128,8 @@ def test_every_event_is_aligned_and_counted(spark, small):
     assert sorted(r.ordinal for r in reads) == [e for e, _ in EVENTS]
     assert sorted(r.ordinal for r in QUERIES["targeted_align"](spark, small).collect()) == [e for e, _ in EVENTS]
     assert sum(r.total_reads for r in QUERIES["targeted_funnel"](spark, small).collect()) == len(EVENTS)
+
+
+def test_every_read_is_matched(spark, small):
+    got = {r.ordinal: r.score is not None and (r.score, r.start, r.end) for r in QUERIES["banded_match"](spark, small).collect()}
+    assert got == {e: match(D.SITES[0].fw_anchor, site_read(e, u)[0]) or False for e, u in EVENTS}
