@@ -1,8 +1,10 @@
 """Media columns: payloads stored as WAV, read back by the wave module, with spectral-peak fingerprints.
 
-The samples are cut into overlapping frames, a short-time Fourier transform gives each frame's spectrum, the
-strongest local peak of a frame is a landmark, and each landmark is paired with the next ones. A pair is
-coded as (first bin, second bin, frames between) and stored with the frame of the first as its time.
+The samples, with silence before and after so that each of them is inside several frames, are cut into overlapping
+frames and a short-time Fourier transform gives each frame's spectrum. The strongest local peak of a frame is a
+landmark; it is paired with the frame's next strongest peaks and with the next landmarks. A pair is coded as
+(first bin, second bin, distance), where the distance is that of the frames, or FAN_OUT and the second peak's rank
+within one frame, and stored with the frame of the first as its time.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 
 from .common import binary_texts, on_workers
 
-RATE, FRAME, HOP, FAN_OUT, BLOCK = 8000, 512, 256, 2, 1024
+RATE, FRAME, HOP, PEAKS, FAN_OUT, BLOCK = 8000, 128, 32, 8, 2, 1024
+SILENCE = -128  # of a byte 0
 ALIGN = 64
 
 
@@ -43,22 +46,22 @@ def from_wav(media: bytes) -> bytes:
 
 
 def landmarks(payload: bytes):
-    """The strongest spectral peak of each frame, -1 where a frame is silent. Frames are done in blocks."""
+    """The bins of each frame's strongest spectral peaks in order, -1 where there are fewer. Frames are done in blocks."""
     import numpy as np
 
     samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
+    edge = FRAME - HOP
+    samples = np.pad(samples, (edge, edge + -(len(samples) + edge) % HOP), constant_values=SILENCE)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
-    peaks = np.empty(len(frames), np.int64)
+    peaks = np.empty((len(frames), PEAKS), np.int64)
     for at in range(0, len(frames), BLOCK):
         block = frames[at : at + BLOCK]
         power = np.abs(np.fft.rfft((block - block.mean(axis=1, keepdims=True)) * window, axis=1))
         inner = power[:, 1:-1]
         top = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]), inner, 0)
-        best = top.argmax(axis=1)
-        peaks[at : at + BLOCK] = np.where(top[np.arange(len(best)), best] > 1e-3, best + 1, -1)
+        best = np.argsort(-top, axis=1, kind="stable")[:, :PEAKS]
+        peaks[at : at + BLOCK] = np.where(np.take_along_axis(top, best, axis=1) > 1e-3, best + 1, -1)
     return peaks
 
 
@@ -67,12 +70,14 @@ def fingerprint(payload: bytes):
     import numpy as np
 
     peaks = landmarks(payload)
-    pairs = []
-    for step in range(1, FAN_OUT + 1):
-        first, second = peaks[:-step], peaks[step:]
-        at = np.flatnonzero((first >= 0) & (second >= 0))
-        pairs.append((at, (first[at] << 16) | (second[at] << 4) | step))
-    times, codes = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    first = peaks[:, 0]
+    pairs = [(first[:-step], first[step:], step) for step in range(1, FAN_OUT + 1)]
+    pairs += [(first, peaks[:, rank], FAN_OUT + rank) for rank in range(1, PEAKS)]
+    found = []
+    for one, two, code in pairs:
+        at = np.flatnonzero((one >= 0) & (two >= 0))
+        found.append((at, (one[at] << 16) | (two[at] << 4) | code))
+    times, codes = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((codes & 15, times))
     return times[order].astype(np.int32), codes[order].astype(np.int32)
 
@@ -113,6 +118,8 @@ def media_columns(docs: DataFrame, with_media: bool = False, id_col: str = "doc_
 
     - null or empty text: a payload of 64 bytes 0, which is silent and has no pairs.
     - null doc_id is kept. Repeated rows give repeated results; equal texts give equal values.
+    - short texts and the end of a text: framed like the rest, padded with silence; every other text has pairs.
+      Places of peaks don't depend on loudness: a few of the shortest texts (a single letter, say) share theirs.
     - very long texts: whole; the spectrum is computed in blocks of frames. empty table: no rows.
     - further columns are ignored.
     """
