@@ -279,11 +279,11 @@ def top_bottom_n(spark, sf_dir):
 
 def volcano_points(spark, sf_dir):
     out = _analysed(spark, sf_dir).select("aa", F.round("raw2", 6).alias("score"), F.round("q2", 6).alias("q"))
-    return H.volcano(out, "score", "q", "aa", points=120).select("aa", "score", "q", "rank", "significant", *r6("neg_log10_q"))
+    return H.volcano(out, "score", "q", "aa").select("aa", "score", "q", "rank", "significant", *r6("neg_log10_q"))
 
 
 def scatter_points(spark, sf_dir):
-    return H.scatter(_analysed(spark, sf_dir).select("aa", "c0", "c2"), "c0", "c2", "aa", points=90)
+    return H.scatter(_analysed(spark, sf_dir).select("aa", "c0", "c2"), "c0", "c2", "aa")
 
 
 def yates_chi2(spark, sf_dir):
