@@ -1,17 +1,14 @@
-"""What the corpus operators share: reading tables, worker functions and staged tables."""
+"""What the corpus operators share: reading tables, texts as bytes, and the library's staged tables and workers."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from strandlake.tables import release, settle, shared_dir, stage
+from strandlake.workers import on_workers
+
+__all__ = ["BLANKS", "WORD", "binary_texts", "load", "on_workers", "release", "settle", "shared_dir", "stage", "text_or_empty"]
 
 #: A run of the six ASCII blanks, as a Java and Python pattern.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -26,48 +23,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def on_workers(fn: Callable, *args, **kwargs) -> Callable:
-    """A function for mapInArrow that finds fn by name, so that module-level caches outlive a task."""
-    module, name, root = fn.__module__, fn.__qualname__, ROOT
-
-    def run(batches):
-        import importlib
-        import sys
-
-        if root not in sys.path:
-            sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args, **kwargs)
-
-    return run
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The shuffle files that only served the write are released at once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    return spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished queries instead of waiting for a full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def binary_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa
