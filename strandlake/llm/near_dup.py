@@ -12,6 +12,11 @@ Then documents are the pivots: inside a group of candidates the documents within
 Voronoi region and linked through it. A document of another region is a boundary document of this one if its
 distance to the pivot is at most the region's radius plus the join's; it is compared in full, as a pivot of its
 own, unless the region has no member in its triangle-inequality window that isn't in its component already.
+
+A small group is joined so in one task. A large one is dealt over many: each has all pivots of the round and a
+share of the documents. What is linked with a pivot joins its region. A document whose window reaches no document
+outside the region is done, as are the pivots; the others get regions of their own, by single shingles counted
+among them alone, and the next round has twice as many pivots, to any depth. Only verified links are connected.
 """
 
 from __future__ import annotations
@@ -83,12 +88,12 @@ def shingle_keys(hashes, parts: int):
 
 
 def survey(batches, width: int, parts: int):
-    """doc_id, text -> a row per document: doc_id, n, digest, node; and packed counts of shingles for each part."""
+    """doc_id, rid, text -> a row per document: doc_id, rid, n, digest, node; and packed counts of shingles for each part."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["part", "doc_id", "n", "digest", "node", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    names = ["part", "doc_id", "rid", "n", "digest", "node", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def table(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -100,12 +105,12 @@ def survey(batches, width: int, parts: int):
         upper, counts, part = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts[at], 65535).astype(np.uint16), part[at].astype(np.int64)
         keys, starts = np.unique(part, return_index=True)
         none = [None] * len(keys)
-        return table(keys, none, none, none, none, [upper[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
+        return table(keys, none, none, none, none, none, [upper[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
 
     held, size, seen = [], 0, set()
     for batch in batches:
-        ids, ns, digests = batch.column(0).to_pylist(), [], []
-        for text in binary_texts(batch.column(1)):
+        ns, digests = [], []
+        for text in binary_texts(batch.column(2)):
             h = shingles(text, width)
             d = digest(h)
             ns.append(len(h))
@@ -118,37 +123,45 @@ def survey(batches, width: int, parts: int):
                 yield counted()
                 held, size, seen = [], 0, set()
         nodes = [node_of(d) for d in digests]
-        yield table([x % parts for x in nodes], ids, ns, digests, nodes, [None] * len(ids))
+        yield table([x % parts for x in nodes], batch.column(0), batch.column(1), ns, digests, nodes, [None] * len(nodes))
     if size:
         yield counted()
 
 
 def count_shingles(batches, least: int):
-    """The rows of a part -> the documents as they are, and shingle keys that at least least texts have."""
+    """The rows ordered by part -> the documents as they are, and shingle keys that at least least texts have."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute
 
-    names = ["doc_id", "n", "digest", "node", "key", "texts"]
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for part, packed in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            if packed is not None:
-                n = len(packed) // 6
-                parts.setdefault(part, []).append((np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)))
-        docs = batch.filter(pa.compute.is_valid(batch.column("node")))
-        if docs.num_rows:
-            none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.column(c) for c in names[:4]] + [none, none], names)
-    for part in list(parts):
-        upper, counts = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
+    names = ["doc_id", "rid", "n", "digest", "node", "key", "texts"]
+
+    def summed(part, held):
+        upper, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         values, place = np.unique(upper, return_inverse=True)
         total = np.bincount(place, counts).astype(np.int64)
         often = total >= least
         if often.any():
             none = pa.nulls(int(often.sum()), pa.int64())
             keys = (np.int64(part) << 32) | values[often].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.array(keys), pa.array(total[often])], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.binary()), none, pa.array(keys), pa.array(total[often])], names)
+
+    now, held = None, []
+    for batch in batches:
+        docs = batch.filter(pa.compute.is_valid(batch.column("node")))
+        if docs.num_rows:
+            none = pa.nulls(docs.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.column(c) for c in names[:5]] + [none, none], names)
+        counted = batch.filter(pa.compute.is_valid(batch.column("counts")))
+        for part, packed in zip(counted.column("part").to_pylist(), counted.column("counts").to_pylist(), strict=True):
+            if part != now and held:
+                yield from summed(now, held)
+                held = []
+            now = part
+            n = len(packed) // 6
+            held.append((np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)))
+    if held:
+        yield from summed(now, held)
 
 
 def frequent_shingles(counts: DataFrame, most: int):
@@ -239,18 +252,13 @@ def local_components(a, b):
 
 
 def region_edges(batches, percent: int):
-    """The entries of a part -> stars (node, smallest node) over the sets that meet in its regions."""
+    """The entries, ordered by part -> stars (node, smallest node) over the sets that meet in a region. One part is
+    held at a time."""
     import numpy as np
     import pyarrow as pa
 
-    by_part: dict[int, list] = {}
-    for batch in batches:
-        for part, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = len(entries) // 16
-            got = np.frombuffer(entries, np.int64, n), np.frombuffer(entries, np.uint32, n, 8 * n), np.frombuffer(entries, np.uint32, n, 12 * n)
-            by_part.setdefault(part, []).append(got)
-    for part in list(by_part):
-        s, h, n = (np.concatenate(x) for x in zip(*by_part.pop(part), strict=True))
+    def stars(held):
+        s, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
         at = np.argsort((h.astype(np.uint64) << np.uint64(32)) | n)
         h, s, n = h[at], s[at], n[at]
         core, size = (n & 1).astype(bool), (n >> 1).astype(np.int64)
@@ -265,12 +273,25 @@ def region_edges(batches, percent: int):
             far = nodes != root
             yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
 
+    now, held = None, []
+    for batch in batches:
+        for part, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != now and held:
+                yield from stars(held)
+                held = []
+            now = part
+            n = len(entries) // 16
+            held.append((np.frombuffer(entries, np.int64, n), np.frombuffer(entries, np.uint32, n, 8 * n), np.frombuffer(entries, np.uint32, n, 12 * n)))
+    if held:
+        yield from stars(held)
+
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Stars (a, b): b is the smallest node of a's component. Alternates large and small stars; all on the cluster."""
+def connected(edges: DataFrame) -> DataFrame:
+    """Stars (a, b): b is the smallest node of a's component. Alternates large and small stars until nothing moves, in
+    a number of rounds that grows with the logarithm of the nodes; all on the cluster."""
     edges = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -282,7 +303,6 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             return edges
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 class _Union:
@@ -372,57 +392,138 @@ def join_regions(sets, percent: int):
 
 
 def solve(batches, width: int, percent: int):
-    """Rows (group, doc_id, digest, text), ordered by group -> digest, component (smallest doc_id) of each set."""
+    """Rows (group, whole, doc_id, rid, digest, text), ordered by group -> for each set its digest, the digest of its
+    component's set with the smallest doc_id, that doc_id, and whole."""
     import pyarrow as pa
 
-    def solved(rows):
-        found = {}
-        for doc, key, h in rows:
-            if key not in found or doc < found[key][0]:
-                found[key] = doc, h
-        keys = sorted(found, key=lambda k: found[k][0])
+    names = ["digest", "root", "component_id", "whole"]
+
+    def solved(found, whole):
+        keys = sorted(found, key=lambda k: (found[k][0] is None, found[k][0], k))
         roots = join_regions([found[k][1] for k in keys], percent) if len(keys) > 1 else [0] * len(keys)
-        return [(k, found[keys[r]][0]) for k, r in zip(keys, roots, strict=True)]
+        out = [(k, keys[r], found[keys[r]][0], whole) for k, r in zip(keys, roots, strict=True)]
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    now, rows, out = None, [], []
+    now, of, found, seen = None, None, {}, set()
     for batch in batches:
-        for group, doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), binary_texts(batch.column(3)), strict=True):
-            if group != now and rows:
-                out += solved(rows)
-                rows = []
-            now = group
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        for group, whole, doc, rid, key, text in zip(*columns, binary_texts(batch.column(5)), strict=True):
+            if group != now:
+                if found:
+                    yield solved(found, of)
+                now, of, found, seen = group, whole, {}, set()
+            if (doc, rid) in seen:
+                continue
+            seen.add((doc, rid))
+            h = shingles(text, width)
+            if digest(h) == key and (key not in found or found[key][0] is None or (doc is not None and doc < found[key][0])):
+                found[key] = doc, h
+    if found:
+        yield solved(found, of)
+
+
+def compare_with_pivots(batches, width: int):
+    """Rows (group, share, pivot, digest, text), ordered by these with pivots first -> group, pivot's digest, digest,
+    shared shingles and size of the union, for each document of the share and each pivot that it shares any with."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["group", "pivot", "digest", "shared", "united"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    now, pivots, seen, index, out = None, {}, set(), None, []
+
+    def table():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(4)]
+        for group, share, is_pivot, key, text in zip(*columns, binary_texts(batch.column(4)), strict=True):
+            if (group, share) != now:
+                now, pivots, seen, index = (group, share), {}, set(), None
+            if key in (pivots if is_pivot else seen):
+                continue
             h = shingles(text, width)
-            if digest(h) == key:
-                rows.append((doc, key, h))
+            if digest(h) != key:
+                continue
+            if is_pivot:
+                pivots[key] = h
+                continue
+            seen.add(key)
+            if index is None:
+                keys = list(pivots)
+                if not keys:
+                    continue
+                flat = np.concatenate([pivots[k] for k in keys])
+                owner = np.repeat(np.arange(len(keys)), [len(pivots[k]) for k in keys])
+                at = np.argsort(flat, kind="stable")
+                index = keys, flat[at], owner[at]
+            keys, flat, owner = index
+            begin, end = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+            count = end - begin
+            places = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            for k, n in enumerate(np.bincount(owner[places], minlength=len(keys)).tolist()):
+                if n and keys[k] != key:
+                    out.append((group, keys[k], key, n, len(h) + len(pivots[keys[k]]) - n))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["digest", "component_id"])
+            yield table()
             out = []
-    if rows:
-        out = solved(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["digest", "component_id"])
 
 
-def candidates(texts: DataFrame, percent: int, width: int, frequent_texts: int, most_frequent: int, part_entries: int):
-    """The sets of texts (doc_id, n, digest, node), and the groups (node, group) of those that meet in a region."""
+def candidates(texts: DataFrame, percent: int, width: int, frequent_texts: int, most_frequent: int, part_entries: int, most_partitions: int):
+    """The sets of texts (doc_id, rid, n, digest, node), and the groups (node, group) of those that meet in a region."""
     spark = texts.sparkSession
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     key_parts = max(at_least, size // (8 * part_entries) + 1)
-    surveyed = texts.mapInArrow(on_workers(survey, width, key_parts), "part long, doc_id long, n long, digest binary, node long, counts binary")
-    counted = surveyed.repartition(key_parts, "part").mapInArrow(on_workers(count_shingles, frequent_texts), "doc_id long, n long, digest binary, node long, key long, texts long")
+    surveyed = texts.select("doc_id", "rid", "text").mapInArrow(on_workers(survey, width, key_parts), "part long, doc_id long, rid long, n long, digest binary, node long, counts binary")
+    dealt = surveyed.repartition(min(key_parts, most_partitions), "part").sortWithinPartitions("part")
+    counted = dealt.mapInArrow(on_workers(count_shingles, frequent_texts), "doc_id long, rid long, n long, digest binary, node long, key long, texts long")
     seen = stage(counted, "near-survey")
-    sets = seen.filter("n is not null").select("doc_id", "n", "digest", "node")
+    sets = seen.filter("n is not null").select("doc_id", "rid", "n", "digest", "node")
     keys, often = frequent_shingles(seen.filter("key is not null").select("key", "texts"), most_frequent)
 
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = max(at_least, total * (100 - percent) // 100 // part_entries + 1)
     entries = texts.select("text").mapInArrow(on_workers(replicate, width, percent, keys, often, key_parts, parts), "part long, entries binary")
-    edges = entries.repartition(parts, "part").mapInArrow(on_workers(region_edges, percent), "a long, b long")
-    stars = connected(edges)
+    gathered = entries.repartition(min(parts, most_partitions), "part").sortWithinPartitions("part")
+    stars = connected(gathered.mapInArrow(on_workers(region_edges, percent), "a long, b long"))
     return sets, stars.select(F.col("a").alias("node"), F.col("b").alias("group")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, large_group: int = 1000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def same_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Joins on (doc_id, rid), where no doc_id equals no doc_id; the columns of left and the others of right."""
+    others = [c for c in right.columns if c not in ("doc_id", "rid")]
+    keys = right.select(F.col("doc_id").alias("__doc_id"), F.col("rid").alias("__rid"), *others)
+    return left.join(keys, (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select(*left.columns, *others)
+
+
+def pivot_round(texts: DataFrame, members: DataFrame, width: int, percent: int, pivots: int, share_shingles: int, turn: int):
+    """Compares the members (group, digest, doc_id, rid, n) of large groups with about so many pivots of their group.
+
+    Gives the links found (a, b), and the members that may have further ones. Each document of a group has the
+    same chance to be a pivot; a group's documents are dealt over shares of about share_shingles shingles."""
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / share_shingles).cast("int").alias("shares"))
+    sized = stage(members.join(sizes, "group").withColumn("pivot", F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("k")) < pivots), "near-pivots")
+    dealt = sized.select("group", F.pmod(F.hash("digest"), F.col("shares")).alias("share"), F.lit(False).alias("pivot"), "digest", "doc_id", "rid")
+    copied = sized.filter("pivot").select("group", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "pivot", "digest", "doc_id", "rid")
+    rows = same_row(texts, dealt.union(copied)).select("group", "share", "pivot", "digest", "text")
+    ordered = rows.repartition("group", "share").sortWithinPartitions("group", "share", F.col("pivot").desc())
+    met = stage(ordered.mapInArrow(on_workers(compare_with_pivots, width), "group long, pivot binary, digest binary, shared long, united long"), "near-met")
+
+    far = met.withColumns({"linked": 100 * F.col("shared") >= percent * F.col("united"), "d": 1 - F.col("shared") / F.col("united")})
+    links = far.filter("linked").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
+    # A document outside the region of a pivot is at least this far from it; without a shared shingle it is at 1.
+    outside = far.groupBy("group", "pivot").agg(F.coalesce(F.min(F.when(~F.col("linked"), F.col("d"))), F.lit(1.0)).alias("gap"))
+    inside = far.filter("linked").join(outside, ["group", "pivot"])
+    done = inside.filter(F.col("gap") > F.col("d") + (1 - percent / 100) + 1e-9).select("digest").union(sized.filter("pivot").select("digest")).distinct()
+    return links, members.join(done, "digest", "left_anti")
+
+
+def jaccard_components(
+    docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, most_partitions: int = 10_000,
+    large_group: int = 256, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
     Sets hold 64-bit hashes of the word shingles (A-Z lower-cased, words between ASCII blanks). Equal sets are
@@ -430,37 +531,50 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5, frequ
     pivots, by their number of texts, as far as most_frequent of them go; that bounds what is broadcast, and the
     order has no influence on the result.
 
-    A group of more than large_group candidates is split by making regions among its members anew, at most rounds
-    times, before its sets are joined.
+    A group of more than large_group candidates, or of more than large_shingles shingles, is joined in many tasks,
+    a round of about `pivots` pivots after the other, twice as many each time. The limits have no influence on
+    the result either.
 
     - null, empty or blank text: n_shingles 0, linked with nothing: component_id is its own doc_id.
     - texts of fewer than width words: one shingle, linked with equal texts only.
-    - null doc_id: linked like others, never the smallest unless there is no other.
-    - repeated rows: linked with each other. Very long texts: whole. empty table: no rows.
-    - further columns are ignored.
+    - null doc_id: linked like others, also as the only link between two others; component_id is null only if no
+      document that it reaches has a doc_id.
+    - repeated rows: linked with each other; rows with one doc_id and different texts: each by its own text.
+    - very long texts: whole. empty table: no rows. Further columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    limits = (percent, width, frequent_texts, most_frequent, part_entries)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
+    limits = (percent, width, frequent_texts, most_frequent, part_entries, most_partitions)
     sets, groups = candidates(texts, *limits)
-    firsts = stage(sets.filter("n > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("first")), "near-sets")
-    groups = stage(groups, "near-groups")
-    # Regions of a large group are made anew among its members alone, whose own counts order the pivots.
-    for _ in range(rounds):
-        large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > large_group)
-        inside = stage(groups.join(large.select("group"), "group", "left_semi"), "near-large-groups")
-        before = inside.count()
-        if not before:
-            break
-        ids = firsts.join(inside, "node").select(F.col("first").alias("doc_id")).filter("doc_id is not null")
-        again = stage(candidates(stage(texts.join(ids, "doc_id", "left_semi"), "near-large-texts"), *limits)[1], "near-groups")
-        groups = stage(groups.join(inside.select("node"), "node", "left_anti").union(again.join(inside.select("node"), "node", "left_semi")), "near-groups")
-        largest = again.groupBy("group").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0
-        if largest > 0.9 * before:
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    firsts = stage(sets.filter("n > 0").groupBy("digest", "node").agg(F.min(row).alias("row"), F.max("n").alias("n")).select("digest", "node", "row.doc_id", "row.rid", "n"), "near-sets")
+    small, links, turn, whole = [], [], 0, True
+    while True:
+        members = stage(firsts.join(groups, "node").select("group", "digest", "node", "doc_id", "rid", "n"), "near-members")
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+        large = stage(sizes.filter((F.col("k") > 2) & ((F.col("k") > large_group) | (F.col("w") > large_shingles))).select("group"), "near-large")
+        if large.isEmpty():
+            small.append(members.withColumn("whole", F.lit(whole)))
             break
-
-    members = firsts.filter("first is not null").join(groups, "node").select("group", "digest", F.col("first").alias("doc_id"))
-    grouped = texts.join(members, "doc_id").select("group", "doc_id", "digest", "text").repartition("group").sortWithinPartitions("group")
-    solved = grouped.mapInArrow(on_workers(solve, width, percent), "digest binary, component_id long")
-    known = stage(firsts.join(solved, "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id")), "near-components")
+        small.append(members.join(large, "group", "left_anti").withColumn("whole", F.lit(whole)))
+        found, rest = pivot_round(texts, members.join(large, "group", "left_semi").drop("node"), width, percent, pivots << turn, large_shingles, turn)
+        links.append(found)
+        again = stage(same_row(texts, rest.select("doc_id", "rid")).dropDuplicates(["doc_id", "rid"]), "near-large-texts")
+        groups, turn, whole = candidates(again, *limits)[1], turn + 1, False
+
+    table = small[0]
+    for more in small[1:]:
+        table = table.unionByName(more)
+    grouped = same_row(texts, table.select("group", "whole", "digest", "doc_id", "rid")).select("group", "whole", "doc_id", "rid", "digest", "text")
+    solved = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(on_workers(solve, width, percent), "digest binary, root binary, component_id long, whole boolean")
+    if links:
+        solved = stage(solved, "near-solved")
+        for found in links:
+            solved = solved.unionByName(found.select(F.col("a").alias("digest"), F.col("b").alias("root"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("whole")))
+        stars = connected(solved.filter("not whole").select(F.col("digest").alias("a"), F.col("root").alias("b")))
+        reached = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("digest"), F.col("b").alias("root"))
+        least = reached.join(firsts, "digest").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        solved = solved.filter("whole").select("digest", "component_id").union(reached.join(least, "root").select("digest", "component_id"))
+    known = firsts.join(solved.select("digest", "component_id", F.lit(True).alias("met")), "digest", "left")
+    known = stage(known.select("digest", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "near-components")
     linked = sets.filter("n > 0").join(known, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
