@@ -83,7 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)) + _ROW).alias("n")).first()["n"] or 0
     parts = min(most_partitions, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // partition_bytes + 1))
-    sample = keyed.select("norm", "doc_id").sample(min(1.0, sample_bytes / max(1, total)), seed=3).collect()
+    norm = F.regexp_replace(text_or_empty(text_col), BLANKS, " ")
+    sample = docs.sample(min(1.0, sample_bytes / max(1, total)), seed=3).select(norm.alias("norm"), F.col(id_col).alias("doc_id")).collect()
     splitters = choose_splitters([(r["norm"], r["doc_id"]) for r in sample], parts)
     dealt = keyed.withColumn("part", place(F.col("norm"), F.col("doc_id"), splitters, keyed.schema["doc_id"].dataType.simpleString())).repartitionById(parts, "part")
 
