@@ -29,7 +29,7 @@ from .common import binary_texts, on_workers, stage
 
 LENGTH, GRAM = 100, 32
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _NO_ID = 1 << 31  # in row: the document has no id and comes last
 _TABLES: dict = {}
 
@@ -160,7 +160,7 @@ def phrases(batches, parts: int):
                 if size >= _SEGMENT:
                     done.append(packed(group))
                     group, size = [], 0
-                if len(done) >= 16:
+                if len(done) >= 32:
                     yield flushed()
                     done = []
     if group:
