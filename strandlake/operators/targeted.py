@@ -226,13 +226,18 @@ def align_reads(batches, reference: str, targets: list[Target], settings: Target
             yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def align_targets(reads: DataFrame, reference: str, targets: list[Target], settings: TargetedSettings = TargetedSettings()) -> DataFrame:
+def align_targets(reads: DataFrame, reference: str, targets: list[Target], settings: TargetedSettings = TargetedSettings(), task_bases: int = 1_000_000, most_tasks: int = 20_000) -> DataFrame:
     """ALIGNED, and drop: the one reason why a read isn't counted in full, NULL if it passed all checks.
 
-    Reads that are dropped beforehand never reach Python; they come back with their reason."""
+    Reads that are dropped beforehand never reach Python; they come back with their reason. The others are dealt
+    over tasks of about task_bases bases, however the search for duplicates left them, as aligning costs far more
+    than moving a read."""
     schema = to_arrow_schema(StructType.fromDDL(ALIGNED))
     classified = stage(classify(reads, len(reference), settings), "targeted-reads")
     survivors = classified.filter("drop is null").select("source_id", "ordinal", "round_idx", "seq", "qual", "read_q")
+    bases = survivors.agg(F.sum(F.length("seq")).alias("n")).first()["n"] or 0
+    tasks = min(most_tasks, max(reads.sparkSession.sparkContext.defaultParallelism, bases // task_bases + 1))
+    survivors = survivors.repartition(tasks)
     found = survivors.mapInArrow(on_workers(align_reads, reference, targets, settings, schema), ALIGNED)
     # A projection above would be evaluated with the aligner each time the result is used.
     found = stage(found.withColumn("drop", F.when(~F.col("aligned"), "alignment_failed").otherwise(F.get("failures", 0))), "targeted-aligned")
