@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strandlake.functions.seq import edit_distance, find, has_no_stop, is_valid_record, mean_phred, reverse_complement
-from strandlake.tables import settle
+from strandlake.functions.seq import STOPS, is_valid_record, mean_phred
+from strandlake.operators.banded import best_windows
+from strandlake.tables import spread
+from strandlake.workers import on_workers
 
+STOP_CODONS = frozenset(c.encode() for c in STOPS)
 SITE_BUCKETS = ("discard_roi_indel", "discard_low_q_roi", "discard_frameshift", "discard_stop_codon", "passed_qc")
 
 
@@ -47,85 +52,127 @@ def resolve_wild_types(reference: str, sites: list[tuple[str, str, str, int]]) -
     return out
 
 
-def banded_match(df: DataFrame, keys: list[str], needle: str, hay: str, out: str, subs: int, indels: int) -> DataFrame:
+def banded_match(df: DataFrame, needle: str, hay: str, out: str, subs: int, indels: int) -> DataFrame:
     """Adds out = (score, start, end) of the best occurrence of the column needle in the column hay, else NULL.
 
     Every start and every length within indels of the needle's counts; the budget is subs + indels edits;
-    the lowest score wins, then the earliest start, then the shortest. Exact hits need one search; only the
-    other rows are exploded into windows, whose distances are cut off at the budget, and gathered by keys.
+    the lowest score wins, then the earliest start, then the shortest. Rows stay where they are: a batch of reads
+    is matched at once for each of its needles.
     """
-    exact = find(F.col(needle), F.col(hay))
-    found = settle(df, {"__exact": F.when(F.length(needle) > 0, exact).otherwise(-1)})
-    hit = F.when(F.col("__exact") >= 0, F.struct(F.lit(0).alias("score"), F.col("__exact").cast("int").alias("start"), (F.col("__exact") + F.length(needle)).cast("int").alias("end")))
-    m, n = F.length(needle), F.length(hay)
-    least = F.greatest(m - indels, F.lit(1))
-    rest = found.filter((F.col("__exact") < 0) & (m > 0) & (n >= least)).select(*keys, F.col(needle).alias("__needle"), F.col(hay).alias("__hay"))
-    starts = rest.withColumn("__start", F.explode(F.sequence(F.lit(0), F.length("__hay") - F.greatest(F.length("__needle") - indels, F.lit(1)))))
-    windows = starts.withColumn("__len", F.explode(F.sequence(F.greatest(F.length("__needle") - indels, F.lit(1)), F.length("__needle") + indels)))
-    inside = windows.filter(F.col("__start") + F.col("__len") <= F.length("__hay"))
-    scored = inside.withColumn("__d", edit_distance(F.col("__needle"), F.col("__hay").substr(F.col("__start") + 1, F.col("__len")), subs + indels)).filter("__d >= 0")
-    best = scored.groupBy(*keys).agg(F.min(F.struct("__d", "__start", "__len")).alias("__best"))
-    joined = found.join(best, keys, "left")
-    near = F.when(F.col("__best").isNotNull(), F.struct(F.col("__best.__d").alias("score"), F.col("__best.__start").alias("start"), (F.col("__best.__start") + F.col("__best.__len")).alias("end")))
-    return settle(joined, {out: F.coalesce(hit, near)}).drop("__exact", "__best")
-
-
-def attempts(reads: DataFrame, settings: SsmSettings = SsmSettings()) -> DataFrame:
-    """Both orientations of each valid read of enough quality: strand 1 and -1."""
+    names = [c for c in df.columns if c != out]
+    schema = StructType([*(df.schema[c] for c in names), StructField(out, StructType([StructField(c, IntegerType()) for c in ("score", "start", "end")]))])
+    return df.select(*names).mapInArrow(on_workers(match_rows, needle, hay, out, subs, indels), schema)
+
+
+def match_rows(batches, needle: str, hay: str, out: str, subs: int, indels: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        needles, hays = (batch.column(c).cast(pa.binary()).to_pylist() for c in (needle, hay))
+        hits = np.full((3, len(hays)), -1, np.int64)
+        by: dict[bytes, list[int]] = {}
+        for k, (n, h) in enumerate(zip(needles, hays, strict=True)):
+            if n and h is not None:
+                by.setdefault(n, []).append(k)
+        for n, rows in by.items():
+            hits[:, rows] = best_windows(n, [hays[k] for k in rows], subs, indels)
+        none = pa.array(hits[0] < 0)
+        found = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in hits], ["score", "start", "end"], mask=none)
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
+
+
+def usable_reads(reads: DataFrame, settings: SsmSettings = SsmSettings()) -> DataFrame:
+    """source_id, ordinal, seq (upper case), qual of the valid reads of enough quality."""
     valid = is_valid_record(F.col("header"), F.col("seq"), F.col("sep"), F.col("qual"))
     good = reads.filter(valid & (F.lit(settings.min_read_q <= 0) | (mean_phred(F.col("qual")) >= settings.min_read_q)))
-    forward = good.select("source_id", "ordinal", F.lit(1).alias("strand"), F.upper("seq").alias("seq"), "qual")
-    backward = good.select("source_id", "ordinal", F.lit(-1).alias("strand"), reverse_complement(F.upper("seq")).alias("seq"), F.reverse("qual").alias("qual"))
-    return forward.unionByName(backward)
-
-
-def match_rounds(tries: DataFrame, barcodes, settings: SsmSettings = SsmSettings()) -> DataFrame:
-    """Adds round_idx: the round whose barcode matches the read's head best, NULL if none does or the margin is short."""
-    keys = ["source_id", "ordinal", "strand"]
-    heads = tries.select(*keys, F.substring("seq", 1, settings.window).alias("__head"))
-    table = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(b).alias("barcode")) for i, b in enumerate(barcodes) if b])
-    pairs = heads.withColumn("__b", F.explode(table)).select(*keys, "__head", "__b.r", "__b.barcode")
-    scored = banded_match(pairs, [*keys, "r"], "barcode", "__head", "hit", settings.max_subs, settings.max_indels).filter("hit is not null")
-    ranked = scored.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("hit.score").alias("score"), "r"))).alias("s"))
-    first, second = F.get("s", 0), F.get("s", 1)
-    clear = (first["score"] <= settings.max_barcode_error) & F.coalesce(second["score"] - first["score"] >= settings.min_margin, F.lit(True))
-    return tries.join(ranked.select(*keys, F.when(clear, first["r"]).alias("round_idx")), keys, "left")
-
-
-def site_calls(tries: DataFrame, sites, settings: SsmSettings = SsmSettings()) -> DataFrame:
-    """source_id, ordinal, strand, round_idx, site, site_ord, bucket (NULL: not found), dna if passed; a row per site."""
-    keys = ["source_id", "ordinal", "strand", "site_ord"]
-    table = F.array(*[F.struct(F.lit(i).alias("site_ord"), F.lit(s.name).alias("site"), F.lit(s.fw_anchor).alias("fw"), F.lit(s.rv_anchor).alias("rv"), F.lit(s.roi_len).alias("roi_len")) for i, s in enumerate(sites)])
-    spread = tries.withColumn("__s", F.explode(table)).select(*tries.columns, "__s.*")
-    first = banded_match(spread, keys, "fw", "seq", "fw_hit", settings.max_subs, settings.max_indels)
-    tail = settle(first, {"__tail": F.when(F.col("fw_hit").isNotNull(), F.col("seq").substr(F.col("fw_hit.end") + 1, F.length("seq")))})
-    both = banded_match(tail, keys, "rv", "__tail", "rv_hit", settings.max_subs, settings.max_indels)
-    n = F.col("rv_hit.start")
-    roi = F.substr(F.col("__tail"), F.lit(1), n)
-    roi_qual = F.col("qual").substr(F.col("fw_hit.end") + 1, n)
-    cut = settle(both, {"roi": F.when(n.isNotNull(), roi), "__roi_qual": F.when(n.isNotNull(), roi_qual)})
-    bucket = F.when(n.isNull(), None).when(n != F.col("roi_len"), "discard_roi_indel")
-    if settings.min_roi_q > 0:
-        bucket = bucket.when((F.length("__roi_qual") != n) | (mean_phred(F.col("__roi_qual")) < settings.min_roi_q), "discard_low_q_roi")
-    bucket = bucket.when(n % 3 != 0, "discard_frameshift")
-    if settings.filter_stop:
-        bucket = bucket.when(~has_no_stop(F.col("roi")), "discard_stop_codon")
-    called = settle(cut, {"bucket": bucket.otherwise("passed_qc")})
-    return called.select("source_id", "ordinal", "strand", "round_idx", "site", "site_ord", "bucket", F.when(F.col("bucket") == "passed_qc", F.col("roi")).alias("dna"))
+    return good.select("source_id", "ordinal", F.upper("seq").alias("seq"), "qual")
+
+
+def match_rounds(heads: list[bytes], barcodes, settings: SsmSettings) -> np.ndarray:
+    """The round whose barcode matches each read's head best, -1 if none does or the margin is short."""
+    none = 1 << 20
+    scores = np.full((max(2, len(barcodes)), len(heads)), none, np.int64)
+    for r, barcode in enumerate(barcodes):
+        if barcode:
+            found = best_windows(barcode.encode(), heads, settings.max_subs, settings.max_indels)[0]
+            scores[r] = np.where(found < 0, none, found)
+    order = np.sort(scores, axis=0)
+    clear = (order[0] <= settings.max_barcode_error) & (order[1] - order[0] >= settings.min_margin)
+    return np.where(clear, scores.argmin(axis=0), -1)
+
+
+def call_sites(seqs: list[bytes], quals: list[bytes], sites, settings: SsmSettings):
+    """For each site the buckets of the reads (None: not found) and the bases between the anchors."""
+    out = []
+    for s in sites:
+        buckets, bases = [None] * len(seqs), [None] * len(seqs)
+        head = best_windows(s.fw_anchor.encode(), seqs, settings.max_subs, settings.max_indels)
+        some = np.flatnonzero(head[0] >= 0)
+        tails = [seqs[k][head[2, k] :] for k in some]
+        for k, tail, n in zip(some, tails, best_windows(s.rv_anchor.encode(), tails, settings.max_subs, settings.max_indels)[1], strict=True):
+            if n >= 0:
+                roi, qual = tail[:n], quals[k][head[2, k] : head[2, k] + n]
+                buckets[k], bases[k] = judge(roi, qual, s.roi_len, settings), roi.decode()
+        out.append((buckets, bases))
+    return out
+
+
+def judge(roi: bytes, qual: bytes, roi_len: int, settings: SsmSettings) -> str:
+    if len(roi) != roi_len:
+        return "discard_roi_indel"
+    if settings.min_roi_q > 0 and (len(qual) != len(roi) or (sum(qual) / len(qual) - 33 if qual else 0.0) < settings.min_roi_q):
+        return "discard_low_q_roi"
+    if len(roi) % 3:
+        return "discard_frameshift"
+    if settings.filter_stop and any(roi[i : i + 3] in STOP_CODONS for i in range(0, len(roi), 3)):
+        return "discard_stop_codon"
+    return "passed_qc"
+
+
+def attempt_batches(batches, sites, settings: SsmSettings, barcodes, bindings):
+    """source_id, ordinal, seq, qual -> a row per attempt and site."""
+    import pyarrow as pa
+
+    flip = bytes.maketrans(b"ATCG", b"TAGC")
+    names = ["source_id", "ordinal", "strand", "round_idx", "site", "site_ord", "bucket", "dna"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+
+    def called(which, strand, sources, seqs, quals):
+        """The rows of one orientation of the reads, and which of them gave a site."""
+        if bindings is None:
+            rounds = match_rounds([s[: settings.window] for s in seqs], barcodes, settings)
+        else:
+            rounds = np.array([bindings.get(s, -1) for s in sources], np.int64)
+        done = np.zeros(len(which), bool)
+        for order, (site, (buckets, bases)) in enumerate(zip(sites, call_sites(seqs, quals, sites, settings), strict=True)):
+            passed = np.array([b == "passed_qc" for b in buckets], bool)
+            done |= passed & (rounds >= 0)
+            n = len(which)
+            columns = [sources, which, [strand] * n, pa.array(rounds.astype(np.int32), mask=rounds < 0), [site.name] * n, [order] * n, buckets, [d if ok else None for d, ok in zip(bases, passed, strict=True)]]
+            yield done, pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        sources, ordinals = (batch.column(c).to_pylist() for c in ("source_id", "ordinal"))
+        seqs, quals = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("seq", "qual"))
+        done = np.zeros(len(seqs), bool)
+        for done, rows in called(ordinals, 1, sources, seqs, quals):
+            yield rows
+        again = np.flatnonzero(~done).tolist()
+        if again:
+            pick = lambda values: [values[k] for k in again]
+            for _, rows in called(pick(ordinals), -1, pick(sources), [s.translate(flip)[::-1] for s in pick(seqs)], [q[::-1] for q in pick(quals)]):
+                yield rows
 
 
 def run_attempts(reads: DataFrame, sites, settings: SsmSettings = SsmSettings(), barcodes=None, bindings: dict[int, int] | None = None) -> DataFrame:
-    """A row per attempt and site. The reverse complement is an attempt only where the forward read gave no site;
-    both attempts count in the funnel, as the counters run on attempts, not on reads."""
-    tries = attempts(reads, settings)
-    if bindings is None:
-        tries = match_rounds(tries, barcodes, settings)
-    else:
-        tries = tries.withColumn("round_idx", F.try_element_at(F.create_map(*[F.lit(x) for p in bindings.items() for x in p]), F.col("source_id")))
-    calls = site_calls(tries, sites, settings)
-    done = calls.filter("strand = 1 and round_idx is not null and bucket = 'passed_qc'").select("source_id", "ordinal").distinct().withColumn("__done", F.lit(True))
-    kept = calls.join(done, ["source_id", "ordinal"], "left").filter((F.col("strand") == 1) | F.col("__done").isNull()).drop("__done")
-    return kept
+    """A row per attempt and site: source_id, ordinal, strand, round_idx, site, site_ord, bucket (NULL: not found), dna if
+    it passed. The reverse complement is an attempt only where the forward read gave no site; both attempts count
+    in the funnel, as the counters run on attempts, not on reads.
+
+    The round is that of the best barcode, or bound to the source by bindings. No row is shuffled, unless the reads
+    lie in fewer partitions than there are cores."""
+    schema = "source_id int, ordinal long, strand int, round_idx int, site string, site_ord int, bucket string, dna string"
+    return spread(usable_reads(reads, settings)).mapInArrow(on_workers(attempt_batches, sites, settings, barcodes, bindings), schema)
 
 
 def site_funnel(calls: DataFrame, rounds, sites) -> DataFrame:

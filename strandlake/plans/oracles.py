@@ -144,7 +144,7 @@ def _at(column: str, i: int, digits: bool = True, name: str | None = None) -> st
 
 _SEQ2 = "TTCGGACCTGAACGTATGC"
 _SITE_READS = f"""
-ev AS (SELECT event_id AS e, user_id AS u FROM events WHERE event_id % 5 < 2),
+ev AS (SELECT event_id AS e, user_id AS u FROM events),
 sense AS (SELECT e,
   (CASE WHEN e % 19 = 4 THEN 'T' || substr(b, 2) WHEN e % 27 = 5 THEN 'GTGTGTGTGTGT' ELSE b END) || 'GATTACAGATCC'
   || (CASE WHEN e % 13 = 3 THEN 'GCAACAGGCTAGAATTCCG' WHEN e % 17 = 5 THEN 'GCAACTGGCAGAATTCCG' WHEN e % 33 = 7 THEN 'ACACACACACACACACACA' ELSE 'GCAACTGGCTAGAATTCCG' END)
@@ -239,7 +239,7 @@ ORACLES = {
     "master_matrix": _matrix(),
     "library_median": f"WITH {_ST} SELECT {_at('med', 1, name='m1')}, {_at('med', 2, name='m2')} FROM st",
     "fdr_hit_counts": f"WITH {_ST} SELECT CASE round WHEN 'Round_1' THEN 'q1' ELSE 'q2' END AS comparison, {_HITS} FROM st WHERE round <> 'Round_0' GROUP BY round",
-    "banded_match": f"WITH {_SITE_READS}, src AS (SELECT ordinal, upper(seq) AS hy0 FROM reads WHERE ordinal % 4 = 0), {_match('mm', 'src', 'ordinal', chr(39) + 'GCAACTGGCTAGAATTCCG' + chr(39), 'hy0')} SELECT ordinal, d::INT AS score, a::INT AS start, b::INT AS \"end\" FROM src LEFT JOIN mm USING (ordinal)",
+    "banded_match": f"WITH {_SITE_READS}, src AS (SELECT ordinal, upper(seq) AS hy0 FROM reads), {_match('mm', 'src', 'ordinal', chr(39) + 'GCAACTGGCTAGAATTCCG' + chr(39), 'hy0')} SELECT ordinal, d::INT AS score, a::INT AS start, b::INT AS \"end\" FROM src LEFT JOIN mm USING (ordinal)",
     "ssm_sites": f"WITH {_CALLS} SELECT 'Round_' || r AS round, site, count(bucket) AS anchor_found, {', '.join(f'''count(*) FILTER (bucket = '{k}') AS {k}''' for k in ('discard_roi_indel', 'discard_low_q_roi', 'discard_frameshift', 'discard_stop_codon', 'passed_qc'))}, count(*) FILTER (bucket = 'passed_qc' AND roi = wt) AS wt_count FROM calls WHERE r IS NOT NULL GROUP BY ALL",
     "ssm_attempt_funnel": f"WITH {_CALLS}, per AS (SELECT ordinal, strand, any_value(r) AS r, count(*) FILTER (bucket = 'passed_qc') AS n FROM calls GROUP BY ALL) SELECT (SELECT count(*) FROM judged WHERE NOT valid) AS malformed_fastq, (SELECT count(*) FROM judged WHERE valid AND read_q < 10) AS low_quality_read, count(*) FILTER (r IS NULL) AS barcode_mismatch, count(*) FILTER (r IS NOT NULL AND n = 0) AS no_site_extracted FROM per",
     "ssm_site_counts": f"WITH {_SITE_COUNTS} SELECT round, site, dna, n FROM scounts",
@@ -260,8 +260,8 @@ ORACLES = {
     "target_logo": f"WITH {_SITE_COUNTS}, k AS (SELECT site, {_aa('dna')} AS aa, sum(n) AS k FROM scounts GROUP BY ALL), s AS (SELECT *, k::DOUBLE / sum(k) OVER (PARTITION BY site) AS share FROM k) SELECT site, aa, round(share, 6) AS share, round(share * (log2(20.0e0) + sum(share * log2(share)) OVER (PARTITION BY site)), 6) AS bits FROM s",
     "rank_abundance": f"WITH {_RANKED}, w AS (SELECT DISTINCT round, floor(exp(i / 200.0e0 * ln(rows::DOUBLE)) + 0.5e0)::INT AS rank FROM (SELECT round, max(rows) AS rows FROM ra GROUP BY round), range(0, 201) t(i)) SELECT round, rank::INT AS rank, n FROM ra JOIN w USING (round, rank)",
     "top_bottom_n": f"WITH {_PLOT}, a AS (SELECT aa, cen AS score, row_number() OVER (ORDER BY cen DESC, aa)::INT AS place, 'top' AS side FROM w UNION ALL SELECT aa, cen, row_number() OVER (ORDER BY cen, aa DESC)::INT, 'bottom' FROM w) SELECT * FROM a WHERE place <= 20",
-    "volcano_points": f"WITH {_PLOT}, r AS (SELECT aa, score, q, row_number() OVER (ORDER BY score DESC, aa)::INT AS rank, q < 0.05 AND score > 1 AS significant FROM w), k AS (SELECT *, rank <= 20 OR significant AS keep FROM r), g AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (ORDER BY rank) AS pos, count(*) FILTER (keep) OVER () AS kept, count(*) FILTER (NOT keep) OVER () AS others FROM k) SELECT aa, score, q, rank, significant, round(CASE WHEN q <= 0 THEN 300 WHEN q >= 1 THEN 0 ELSE -log10(q) END, 6) AS neg_log10_q FROM g WHERE keep OR (pos - 1) % greatest(1, ceil(others / greatest(120 - kept, 1)::DOUBLE))::INT = 0",
-    "scatter_points": f"WITH {_PLOT}, r AS (SELECT aa, c0, c2, row_number() OVER (ORDER BY c2 DESC, aa)::INT AS rank, count(*) OVER () AS k FROM w WHERE c0 > 0 OR c2 > 0) SELECT aa, c0, c2, rank FROM r WHERE rank <= 20 OR (rank - 21) % greatest(1, ceil((k - 20) / 70.0e0))::INT = 0",
+    "volcano_points": f"WITH {_PLOT}, r AS (SELECT aa, score, q, row_number() OVER (ORDER BY score DESC, aa)::INT AS rank, q < 0.05 AND score > 1 AS significant FROM w), k AS (SELECT *, rank <= 20 OR significant AS keep FROM r), g AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (ORDER BY rank) AS pos, count(*) FILTER (keep) OVER () AS kept, count(*) FILTER (NOT keep) OVER () AS others FROM k) SELECT aa, score, q, rank, significant, round(CASE WHEN q <= 0 THEN 300 WHEN q >= 1 THEN 0 ELSE -log10(q) END, 6) AS neg_log10_q FROM g WHERE keep OR (pos - 1) % greatest(1, ceil(others / greatest(1500 - kept, 1)::DOUBLE))::INT = 0",
+    "scatter_points": f"WITH {_PLOT}, r AS (SELECT aa, c0, c2, row_number() OVER (ORDER BY c2 DESC, aa)::INT AS rank, count(*) OVER () AS k FROM w WHERE c0 > 0 OR c2 > 0) SELECT aa, c0, c2, rank FROM r WHERE rank <= 20 OR (rank - 21) % greatest(1, ceil((k - 20) / 1980.0e0))::INT = 0",
     "yates_chi2": f"WITH {_T22}, x AS (SELECT *, a + b + c + d AS n, (a + b) * (c + d) * (a + c) * (b + d) AS mg, abs(a * d - b * c) - (a + b + c + d) / 2 AS ex FROM t), y AS (SELECT *, mg > 0 AND a * n > (a + b) * (a + c) AND ex > 0 AS ok, CASE WHEN mg > 0 AND ex > 0 THEN ex * ex * n / mg END AS chi FROM x) SELECT aa, round(CASE WHEN ok THEN 0.5e0 * {_ERFC} ELSE 1 END, 6) AS p FROM y",
     "sankey_links": f"WITH {_DONE} SELECT round AS source, bucket AS target, count(*) AS reads FROM done WHERE status = 'assigned' GROUP BY ALL",
     "q_quantiles": f"WITH {_DORADO} SELECT source_id, {', '.join(f'round(quantile_cont(q, {p}), 6) AS {n}' for p, n in ((0, 'q_min'), (0.25, 'q_25'), (0.5, 'q_50'), (0.75, 'q_75'), (1, 'q_max')))} FROM eff GROUP BY source_id",

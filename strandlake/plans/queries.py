@@ -15,7 +15,7 @@ from strandlake.operators import enrich as E
 from strandlake.operators import ssm as B
 from strandlake.operators import targeted as T
 from strandlake.sources import derive as D
-from strandlake.tables import stage
+from strandlake.tables import spread, stage
 
 NAMES = [r.name for r in D.ROUNDS]
 
@@ -173,7 +173,7 @@ def fdr_hit_counts(spark, sf_dir):
 
 def banded_match(spark, sf_dir):
     reads = D.site_reads(spark, sf_dir).select("ordinal", F.upper("seq").alias("hay"), F.lit(D.SITES[0].fw_anchor).alias("needle"))
-    out = B.banded_match(reads, ["ordinal"], "needle", "hay", "hit", 2, 1)
+    out = B.banded_match(spread(reads), "needle", "hay", "hit", 2, 1)
     return out.select("ordinal", "hit.score", "hit.start", "hit.end")
 
 

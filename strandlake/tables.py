@@ -49,6 +49,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows over the cores where df has fewer partitions than these, for work that costs far more than a
+    shuffle of its rows. Large inputs have enough partitions and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns that the planner computes once. It would copy a plain projection into every later use of it,
     and a filter on a column made of columns made of columns grows without bound; a generator of one row stops that."""
