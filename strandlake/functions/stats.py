@@ -158,12 +158,19 @@ def log_choose(n: int, k: int) -> float:
 
 
 def fisher_right(a: int, b: int, c: int, d: int) -> float:
-    """P(X >= a) of the hypergeometric distribution with the margins of the table; 1 for an empty margin."""
+    """P(X >= a) of the hypergeometric distribution with the margins of the table; 1 for an empty margin.
+
+    Each of the min(b, c) + 1 terms follows from the one before by a ratio, so only the first takes factorials."""
+    import numpy as np
+
     row, column, n = a + b, a + c, a + b + c + d
     if not row or not column or column == n:
         return 1.0
-    whole = log_choose(n, row)
-    return min(1.0, math.fsum(math.exp(log_choose(column, k) + log_choose(n - column, row - k) - whole) for k in range(a, min(row, column) + 1)))
+    k = np.arange(a, min(row, column), dtype=float)
+    steps = np.log((row - k) * (column - k)) - np.log((k + 1) * (n - row - column + k + 1))
+    logs = log_choose(column, a) + log_choose(n - column, b) - log_choose(n, row) + np.concatenate([[0.0], np.cumsum(steps)])
+    most = logs.max()
+    return min(1.0, math.exp(most) * math.fsum(np.exp(logs - most)))
 
 
 def fisher_series(a, b, c, d):

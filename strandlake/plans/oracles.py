@@ -211,6 +211,77 @@ def _matrix() -> str:
     return f"WITH {_ST}, dt AS (SELECT aa, dna, sum(n) AS t FROM coll GROUP BY ALL), dm AS (SELECT aa, arg_min(dna, (-t, dna)) AS dom FROM dt GROUP BY aa) SELECT {', '.join(columns)} FROM st GROUP BY aa"
 
 
+_REF = (
+    "TACAGTACGTTAAACGTTTACGCTTCGCCCCCTCGTCGCTCCCCGGGACTTCCGCAAGAATTCGCATGGCATCGTGCACGCAGTAATGAGAACTATTGTGATGGACCATCGCACATAAGGGGGCAGGGGTCTAAACTCCGACTCATAGGC"
+    "GGCAACGGACCGCCAACACGCGAGTGTTGGATTGCATTGCAGCTAAGCTTCATATTTCGTAATCCGCAAACGGGCCGGTGTATTAGGAAGGTGATGCTCACAGATATGGAGTGTATACGTCTATATCGATATGGAGGGACGGGCTGCCTG"
+)
+
+
+def _hit(codon: str, wild: str) -> str:
+    """The path over a substituted codon: M or X for each base."""
+    return " || ".join(f"CASE substr({codon}, {i}, 1) WHEN '{wild[i - 1]}' THEN 'M' ELSE 'X' END" for i in (1, 2, 3))
+
+
+def _runs(op: str) -> str:
+    return f"len(regexp_extract_all(ops, '{op}+'))"
+
+
+def _times(op: str) -> str:
+    return f"length(regexp_replace(ops, '[^{op}]', '', 'g'))"
+
+
+# How each amplicon was made is known, so its alignment can be stated: substituted codons are mismatches, and the
+# inserted or deleted bases and the cut end are gaps where they were made. Nothing here aligns anything.
+_AMPLICONS = f"""
+ev AS (SELECT event_id AS e, user_id AS u FROM events),
+built AS (SELECT e, (e % 41 = 8) AS short, (e % 43 = 9) AND NOT (e % 41 = 8) AS twice, (e % 47 = 3) AND NOT (e % 41 = 8 OR e % 43 = 9) AS flanked,
+  CASE WHEN e % 11 = 4 THEN 'lost' WHEN e % 13 = 5 THEN 'more' WHEN e % 17 = 6 THEN 'one' ELSE 'same' END AS near,
+  CASE WHEN e % 4 = 1 THEN '{_REF[60:63]}' WHEN e % 3 = 2 AND e % 2 = 0 THEN 'TGG' ELSE {_codon('u')} END AS c1,
+  CASE WHEN e % 4 = 2 THEN '{_REF[180:183]}' ELSE {_codon('u * 5 + e % 2')} END AS c2 FROM ev),
+wholes AS (SELECT *, '{_REF[:60]}' || c1 || (CASE near WHEN 'lost' THEN '{_REF[63:110]}' WHEN 'more' THEN '{_REF[63:90]}AC{_REF[90:120]}' WHEN 'one' THEN '{_REF[63:80]}{_REF[81:120]}' ELSE '{_REF[63:120]}' END)
+  || '{_REF[120:180]}' || c2 || '{_REF[183:]}' AS w FROM built),
+senses AS (SELECT *, CASE WHEN short THEN substr(w, 1, 200) WHEN twice THEN w || w WHEN flanked THEN 'GATTACA' || w || 'CCCTTT' ELSE w END AS s FROM wholes),
+quals AS (SELECT *, CASE WHEN e % 31 = 3 THEN repeat('$', length(s)) WHEN e % 16 = 6 THEN substr(repeat('I', 60) || repeat(chr(39), 3) || repeat('I', 700), 1, length(s)) ELSE repeat('I', length(s)) END AS sq FROM senses),
+turned AS (SELECT *, CASE WHEN e % 9 = 0 THEN {_rc('s')} ELSE s END AS t, CASE WHEN e % 9 = 0 THEN reverse(sq) ELSE sq END AS qual FROM quals),
+reads AS (SELECT *, (e % 3)::INT AS source_id, e AS ordinal, '@t' || (CASE WHEN e % 50 = 0 THEN e + 30 ELSE e END) AS header, CASE WHEN e % 53 = 10 THEN 'X' || substr(t, 2) ELSE t END AS seq, '+' AS sep FROM turned),
+judged AS (SELECT *, {_VALID} AS valid, CASE WHEN length(qual) > 60 THEN substr(qual, 61) ELSE qual END AS qq FROM reads),
+placed AS (SELECT *, {_OWN} AS read_q, row_number() OVER (PARTITION BY source_id, header, valid ORDER BY ordinal) AS k FROM judged),
+kept AS (SELECT *, CASE WHEN NOT valid THEN 'malformed_fastq' WHEN k > 1 THEN 'duplicate_read_id' WHEN read_q < 10 THEN 'low_read_q' WHEN length(seq) >= 450 THEN 'concatemer_or_chimera' END AS early FROM placed),
+paths AS (SELECT *, repeat('M', 60) || {_hit('c1', _REF[60:63])} || (CASE near WHEN 'lost' THEN repeat('M', 47) || repeat('D', 10) WHEN 'more' THEN repeat('M', 27) || 'II' || repeat('M', 30) WHEN 'one' THEN repeat('M', 17) || 'D' || repeat('M', 39) ELSE repeat('M', 57) END)
+  || repeat('M', 60) || {_hit('c2', _REF[180:183])} || repeat('M', 117) AS path, CASE near WHEN 'lost' THEN 10 WHEN 'one' THEN 1 ELSE 0 END AS gone, CASE near WHEN 'more' THEN 2 ELSE 0 END AS more FROM kept),
+whole_ops AS (SELECT *, CASE WHEN early IS NULL THEN CASE WHEN short THEN substr(path, 1, (200 + gone)::INT) || repeat('D', (100 - gone + more)::INT) ELSE path END END AS ops FROM paths),
+tallied AS (SELECT *, {_times('M')} AS nm, {_times('X')} AS nx, {_times('D')} AS nd, {_times('I')} AS ni FROM whole_ops),
+measured AS (SELECT *, (nm + nx)::DOUBLE / (nm + nx + nd) AS coverage, nm::DOUBLE / length(ops) AS identity, (nm - (6 - nx))::DOUBLE / (nm - (6 - nx) + nd + ni) AS protected_identity FROM tallied),
+aligned AS (SELECT *, coalesce(early, CASE WHEN coverage < 0.9 THEN 'partial_reference' WHEN identity < 0.85 THEN 'low_alignment_identity' WHEN protected_identity < 0.95 THEN 'low_protected_identity' WHEN nd + ni > 30 THEN 'protected_indel' END) AS lost FROM measured),
+two AS (SELECT * FROM (VALUES (0, 'T1', '{_REF[60:63]}', 60), (1, 'T2', '{_REF[180:183]}', 180)) t(so, site, wt, start0)),
+sited AS (SELECT a.*, so, site, wt, CASE so WHEN 0 THEN c1 ELSE c2 END AS dna, list_min([ord(substr(sq, (start0 + (CASE WHEN flanked THEN 7 ELSE 0 END) + (CASE so WHEN 0 THEN 0 ELSE more - gone END) + j)::INT, 1)) - 33 FOR j IN range(1, 4)])::DOUBLE AS min_q,
+  lost IS NOT NULL AND so = 0 AND near <> 'one' AS rescued FROM aligned a, two WHERE early IS NULL),
+tcalls AS (SELECT *, CASE WHEN min_q < 15 THEN 'low_quality' WHEN dna = wt THEN 'wt' WHEN dna IN ('TAA', 'TAG', 'TGA') THEN 'stop_codon' ELSE 'variant' END AS status, min_q >= 15 AND (lost IS NULL OR rescued) AS counted FROM sited),
+linked AS (SELECT ordinal, string_agg(dna, '|' ORDER BY so) AS haplotype FROM tcalls WHERE lost IS NULL GROUP BY ordinal HAVING min(min_q) >= 15)"""
+_TCOUNTS = f"{_AMPLICONS}, tc AS (SELECT 'Round_' || source_id AS round, site, dna, count(*) AS n FROM tcalls WHERE counted GROUP BY ALL)"
+_CCOUNTS = f"{_AMPLICONS}, cc AS (SELECT 'Round_' || source_id AS round, haplotype AS dna, count(*) AS n FROM linked JOIN reads USING (ordinal) GROUP BY ALL)"
+_BAR_AA = f"({_aa('substr(dna, 1, 3)')} || '|' || {_aa('substr(dna, 5, 3)')})"
+_PRIMARY = ("malformed_fastq", "duplicate_read_id", "low_read_q", "concatemer_or_chimera", "alignment_failed", "partial_reference", "low_alignment_identity", "low_protected_identity", "protected_indel")
+_LOST = ", ".join(f"count(*) FILTER (lost = '{x}') AS {x}" for x in _PRIMARY)
+
+
+def _target_matrix(ctes: str, counts: str, keys: str, aa: str, head: tuple[str, ...]) -> str:
+    """The exported matrix of engine C: names of the key, variant and dominant columns, then a column per metric."""
+    names = ["Round_0", "Round_1", "Round_2"]
+    k, of = (f"{keys}, ", f"dm.{keys} = st.{keys} AND ") if keys else ("", "")
+    columns = [f'{keys} AS "{head[0]}"'] if keys else []
+    columns += [f'aa AS "{head[-2]}"', f'any_value((SELECT dom FROM dm WHERE {of}dm.aa = st.aa)) AS "{head[-1]}"', 'bool_and(eligible) AS "Score_Eligible"']
+    metrics = (("c", "Count_{}", 0), ("rpm", "RPM_{}", 0), ("raw", "Enrichment_{}", 1), ("centred", "Centered_Enrichment_{}", 1), ("z", "Z_Enrichment_{}", 1), ("p", "Pval_Enrichment_{}", 1), ("qv", "FDR_q_{}", 1), ("var", "Var_Enrichment_{}", 1))
+    for metric, name, first in metrics:
+        columns += [_at(metric, i, metric != "c", name.format(r) + ("_vs_Round_0" if first else "")) for i, r in enumerate(names) if i >= first]
+    dominant = f"dt AS (SELECT {k}aa, dna, sum(n) AS t FROM coll GROUP BY ALL), dm AS (SELECT {k}aa, arg_min(dna, (-t, dna)) AS dom FROM dt GROUP BY ALL)"
+    return f"WITH {ctes}, {_stats(counts, keys, aa, least=10)}, {dominant} SELECT {', '.join(columns)} FROM st GROUP BY {k}aa"
+
+
+_CHOOSE = "(lgamma({0} + 1.0e0) - lgamma({1} + 1.0e0) - lgamma({0} - {1} + 1.0e0))"
+_RIGHT_TAIL = f"list_sum([exp({_CHOOSE.format('(a + c)', 'k')} + {_CHOOSE.format('(b + d)', '(a + b - k)')} - {_CHOOSE.format('n', '(a + b)')}) FOR k IN range(a::BIGINT, least(a + b, a + c)::BIGINT + 1)])"
+
+
 ORACLES = {
     "read_validity": f"WITH {_READS} SELECT ordinal, valid FROM judged",
     "mean_phred_filter": f"WITH {_READS} SELECT ordinal, round({_mean_q('qual')}, 6) AS read_q FROM reads WHERE round({_mean_q('qual')}, 6) >= 20",
@@ -267,4 +338,11 @@ ORACLES = {
     "q_quantiles": f"WITH {_DORADO} SELECT source_id, {', '.join(f'round(quantile_cont(q, {p}), 6) AS {n}' for p, n in ((0, 'q_min'), (0.25, 'q_25'), (0.5, 'q_50'), (0.75, 'q_75'), (1, 'q_max')))} FROM eff GROUP BY source_id",
     "zero_coverage": "SELECT 'Round_1' AS round, 'S2' AS site",
     "round_totals": f"WITH {_AAC} SELECT round, sum(n)::BIGINT AS reads, count(*) AS distinct_aa FROM aac GROUP BY round",
+    "fisher_exact": f"WITH {_T22}, x AS (SELECT *, a + b + c + d AS n, (a + b) * (c + d) * (a + c) * (b + d) AS mg, abs(a * d - b * c) - (a + b + c + d) / 2 AS ex FROM t), y AS (SELECT *, mg > 0 AND a * n > (a + b) * (a + c) AND ex > 0 AS ok, CASE WHEN mg > 0 AND ex > 0 THEN ex * ex * n / mg END AS chi FROM x) SELECT aa, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d, round(CASE WHEN least(a, b, c, d) < 5 THEN CASE WHEN a + b = 0 OR a + c = 0 OR b + d = 0 THEN 1 ELSE least(1, {_RIGHT_TAIL}) END WHEN ok THEN 0.5e0 * {_ERFC} ELSE 1 END, 9) AS p FROM y",
+    "targeted_align": f"WITH {_AMPLICONS} SELECT ordinal, lost AS drop, CASE WHEN early IS NULL THEN CASE WHEN ordinal % 9 = 0 THEN -1 ELSE 1 END END::INT AS strand, (2 * nm - 3 * nx - 4 * ({_runs('D')} + {_runs('I')}) - nd - ni)::BIGINT AS score, CASE WHEN early IS NULL THEN CASE WHEN flanked THEN 7 ELSE 0 END END::INT AS read_start, CASE WHEN early IS NULL THEN length(s) - CASE WHEN flanked THEN 6 ELSE 0 END END::INT AS read_end, array_to_string([length(x) || x[1] FOR x IN regexp_extract_all(ops, 'M+|X+|I+|D+')], '') AS cigar, CASE WHEN coverage < 0.98 THEN 192 WHEN coverage IS NOT NULL THEN 24 END::INT AS band, CASE WHEN early IS NULL THEN lost IS NULL END AS qc_passed, haplotype FROM aligned LEFT JOIN linked USING (ordinal)",
+    "targeted_calls": f"WITH {_AMPLICONS} SELECT ordinal, site, status, dna, {_aa('dna')} AS aa, min_q, counted, rescued FROM tcalls",
+    "targeted_funnel": f"WITH {_AMPLICONS} SELECT source_id, count(*) AS total_reads, count(*) FILTER (early IS NULL) AS aligned, count(*) FILTER (lost IS NULL) AS full_qc_passed, {_LOST} FROM aligned GROUP BY source_id",
+    "targeted_site_funnel": f"WITH {_AMPLICONS} SELECT source_id AS round_idx, site, count(*) FILTER (status = 'low_quality') AS low_quality, 0::BIGINT AS not_covered, 0::BIGINT AS ambiguous, count(*) FILTER (status = 'stop_codon') AS stop_codon, 0::BIGINT AS target_indel, count(*) FILTER (counted) AS passed_qc, count(*) FILTER (counted AND lost IS NULL) AS callable_full, count(*) FILTER (counted AND lost IS NOT NULL) AS callable_rescued, count(*) FILTER (counted AND {_aa('dna')} = {_aa('wt')}) AS wt_count FROM tcalls GROUP BY source_id, site",
+    "targeted_matrix": _target_matrix(_TCOUNTS, "tc", "site", _aa("dna"), ("Target", "Variant_AA", "Dominant_DNA")),
+    "targeted_combinations": _target_matrix(_CCOUNTS, "cc", "", _BAR_AA, ("Combination_AA", "Combination_DNA")),
 }

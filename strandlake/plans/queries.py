@@ -156,10 +156,13 @@ def bh_fdr(spark, sf_dir):
     return _analysed(spark, sf_dir).select("aa", *r6("q1", "q2"))
 
 
+def _rounded(out: DataFrame) -> DataFrame:
+    return out.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+
 def master_matrix(spark, sf_dir):
     counts = _counts(spark, sf_dir)
-    out = E.master_matrix(counts, _passed(counts), NAMES)
-    return out.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+    return _rounded(E.master_matrix(counts, _passed(counts), NAMES))
 
 
 def library_median(spark, sf_dir):
@@ -350,11 +353,11 @@ def targeted_site_funnel(spark, sf_dir):
 
 def targeted_matrix(spark, sf_dir):
     counts = stage(T.target_counts(T.site_calls(_aligned(spark, sf_dir)[0]), NAMES), "target-counts")
-    return E.target_matrix(counts, _passed(counts, "site"), NAMES)
+    return _rounded(E.target_matrix(counts, _passed(counts, "site"), NAMES))
 
 
 def targeted_combinations(spark, sf_dir):
-    return E.combination_matrix(stage(T.combination_counts(_aligned(spark, sf_dir)[0], NAMES), "combinations"), NAMES)
+    return _rounded(E.combination_matrix(stage(T.combination_counts(_aligned(spark, sf_dir)[0], NAMES), "combinations"), NAMES))
 
 
 QUERIES = {
