@@ -14,9 +14,10 @@ distance to the pivot is at most the region's radius plus the join's; it is comp
 own, unless the region has no member in its triangle-inequality window that isn't in its component already.
 
 A small group is joined so in one task. A large one is dealt over many: each has all pivots of the round and a
-share of the documents. What is linked with a pivot joins its region. A document whose window reaches no document
-outside the region is done, as are the pivots; the others get regions of their own, by single shingles counted
-among them alone, and the next round has twice as many pivots, to any depth. Only verified links are connected.
+share of the documents. What is linked with a pivot joins its region, and regions that share a document become one.
+A document whose window reaches no document outside its region is done, as are the pivots. If too many are left,
+these get regions of their own, by single shingles counted among them alone, and another round with twice as many
+pivots, to any depth. Only verified links are connected.
 """
 
 from __future__ import annotations
@@ -498,11 +499,44 @@ def same_row(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(keys, (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select(*left.columns, *others)
 
 
+def by_size(members: DataFrame, large_group: int, large_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The members of groups that one task can join, and those of larger ones."""
+    members = stage(members, "near-members")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    large = stage(sizes.filter((F.col("k") > 2) & ((F.col("k") > large_group) | (F.col("w") > large_shingles))).select("group"), "near-large")
+    return members.join(large, "group", "left_anti"), members.join(large, "group", "left_semi")
+
+
+def label_nodes(batches):
+    """Rows (group, a, b), ordered by group: nodes that belong together -> group, node, label: the smallest of them."""
+    import pyarrow as pa
+
+    def labelled(group, pairs):
+        nodes = sorted({x for pair in pairs for x in pair})
+        index, union = {x: k for k, x in enumerate(nodes)}, _Union(len(nodes))
+        for a, b in pairs:
+            union.join(index[a], index[b])
+        columns = [group] * len(nodes), nodes, [nodes[union.find(k)] for k in range(len(nodes))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["group", "node", "label"])
+
+    now, pairs = None, []
+    for batch in batches:
+        for group, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if group != now and pairs:
+                yield labelled(now, pairs)
+                pairs = []
+            now = group
+            pairs.append((a, b))
+    if pairs:
+        yield labelled(now, pairs)
+
+
 def pivot_round(texts: DataFrame, members: DataFrame, width: int, percent: int, pivots: int, share_shingles: int, turn: int):
-    """Compares the members (group, digest, doc_id, rid, n) of large groups with about so many pivots of their group.
+    """Compares the members (group, digest, doc_id, rid, n, label) of large groups with about so many pivots of theirs.
 
-    Gives the links found (a, b), and the members that may have further ones. Each document of a group has the
-    same chance to be a pivot; a group's documents are dealt over shares of about share_shingles shingles."""
+    Gives the links found (a, b), and the members that may have further ones. Members with one label are known to
+    be connected. Each document of a group has the same chance to be a pivot; a group's documents are dealt over
+    shares of about share_shingles shingles."""
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / share_shingles).cast("int").alias("shares"))
     sized = stage(members.join(sizes, "group").withColumn("pivot", F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("k")) < pivots), "near-pivots")
     dealt = sized.select("group", F.pmod(F.hash("digest"), F.col("shares")).alias("share"), F.lit(False).alias("pivot"), "digest", "doc_id", "rid")
@@ -510,19 +544,31 @@ def pivot_round(texts: DataFrame, members: DataFrame, width: int, percent: int,
     rows = same_row(texts, dealt.union(copied)).select("group", "share", "pivot", "digest", "text")
     ordered = rows.repartition("group", "share").sortWithinPartitions("group", "share", F.col("pivot").desc())
     met = stage(ordered.mapInArrow(on_workers(compare_with_pivots, width), "group long, pivot binary, digest binary, shared long, united long"), "near-met")
-
     far = met.withColumns({"linked": 100 * F.col("shared") >= percent * F.col("united"), "d": 1 - F.col("shared") / F.col("united")})
     links = far.filter("linked").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
-    # A document outside the region of a pivot is at least this far from it; without a shared shingle it is at 1.
-    outside = far.groupBy("group", "pivot").agg(F.coalesce(F.min(F.when(~F.col("linked"), F.col("d"))), F.lit(1.0)).alias("gap"))
-    inside = far.filter("linked").join(outside, ["group", "pivot"])
-    done = inside.filter(F.col("gap") > F.col("d") + (1 - percent / 100) + 1e-9).select("digest").union(sized.filter("pivot").select("digest")).distinct()
-    return links, members.join(done, "digest", "left_anti")
+
+    # What a member is linked with gets one label; the pairs are as many as pivots and labels, not as members.
+    own = sized.filter("pivot").select("group", "digest", F.col("digest").alias("node")).union(sized.filter("label is not null").select("group", "digest", F.col("label").alias("node")))
+    near = far.filter("linked").select("group", "digest", F.col("pivot").alias("node")).union(own).groupBy("group", "digest").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    near = stage(near, "near-nodes")
+    pairs = near.select("group", F.get("nodes", F.lit(0)).alias("a"), F.explode("nodes").alias("b")).distinct()
+    labels = stage(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(on_workers(label_nodes), "group long, node binary, label binary"), "near-labels")
+    labelled = near.select("group", "digest", F.get("nodes", F.lit(0)).alias("node")).join(labels, ["group", "node"]).select("group", "digest", "label")
+
+    # A document outside the component of a pivot is at least this far from it; without a shared shingle it is at 1.
+    # Nothing that is linked with a document nearer than that, less the radius, lies outside.
+    of_pivot = labels.select("group", F.col("node").alias("pivot"), F.col("label").alias("home"))
+    known = stage(far.join(of_pivot, ["group", "pivot"]).join(labelled, ["group", "digest"], "left").select("group", "pivot", "digest", "d", F.col("label").eqNullSafe(F.col("home")).alias("inside")), "near-known")
+    outside = known.groupBy("group", "pivot").agg(F.coalesce(F.min(F.when(~F.col("inside"), F.col("d"))), F.lit(1.0)).alias("gap"))
+    closed = known.filter("inside").join(outside, ["group", "pivot"]).filter(F.col("gap") > F.col("d") + (1 - percent / 100) + 1e-9)
+    done = closed.select("digest").union(sized.filter("pivot").select("digest")).distinct()
+    rest = members.drop("label").join(done, "digest", "left_anti").join(labelled.select("digest", "label"), "digest", "left")
+    return links, stage(rest, "near-rest")
 
 
 def jaccard_components(
     docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, most_partitions: int = 10_000,
-    large_group: int = 256, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
+    large_group: int = 400, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
@@ -547,19 +593,21 @@ def jaccard_components(
     sets, groups = candidates(texts, *limits)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     firsts = stage(sets.filter("n > 0").groupBy("digest", "node").agg(F.min(row).alias("row"), F.max("n").alias("n")).select("digest", "node", "row.doc_id", "row.rid", "n"), "near-sets")
-    small, links, turn, whole = [], [], 0, True
-    while True:
-        members = stage(firsts.join(groups, "node").select("group", "digest", "node", "doc_id", "rid", "n"), "near-members")
-        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
-        large = stage(sizes.filter((F.col("k") > 2) & ((F.col("k") > large_group) | (F.col("w") > large_shingles))).select("group"), "near-large")
+    members = firsts.join(groups, "node").select("group", "digest", "doc_id", "rid", "n", F.lit(None).cast("binary").alias("label"))
+    small, large = by_size(members, large_group, large_shingles)
+    small, links, turn = [small.withColumn("whole", F.lit(True))], [], 0
+    while not large.isEmpty():
+        found, rest = pivot_round(texts, large, width, percent, pivots << turn, large_shingles, turn)
+        links.append(found)
+        left, large = by_size(rest, large_group, large_shingles)
+        small.append(left.withColumn("whole", F.lit(False)))
+        turn += 1
         if large.isEmpty():
-            small.append(members.withColumn("whole", F.lit(whole)))
             break
-        small.append(members.join(large, "group", "left_anti").withColumn("whole", F.lit(whole)))
-        found, rest = pivot_round(texts, members.join(large, "group", "left_semi").drop("node"), width, percent, pivots << turn, large_shingles, turn)
-        links.append(found)
-        again = stage(same_row(texts, rest.select("doc_id", "rid")).dropDuplicates(["doc_id", "rid"]), "near-large-texts")
-        groups, turn, whole = candidates(again, *limits)[1], turn + 1, False
+        again = stage(same_row(texts, large.select("doc_id", "rid")).dropDuplicates(["doc_id", "rid"]), "near-large-texts")
+        fresh = candidates(again, *limits)[1].join(firsts.select("digest", "node"), "node").select("digest", "group")
+        left, large = by_size(large.drop("group").join(fresh, "digest").select(*members.columns), large_group, large_shingles)
+        small.append(left.withColumn("whole", F.lit(False)))
 
     table = small[0]
     for more in small[1:]:
