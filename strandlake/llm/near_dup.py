@@ -568,7 +568,7 @@ def pivot_round(texts: DataFrame, members: DataFrame, width: int, percent: int,
 
 def jaccard_components(
     docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, most_partitions: int = 10_000,
-    large_group: int = 400, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
+    large_group: int = 2000, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
