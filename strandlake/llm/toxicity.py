@@ -9,6 +9,7 @@ logistic model over these scores gives the probability.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -30,7 +31,9 @@ QUOTES = frozenset("\"'“”„«»‘’")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
+_INNER = re.compile(r"[\W_]+")
 STEMS = (4, 5)
+SHORTEST = 3  # letters of a term
 NEAR, WIDE = 8, 20
 FEATURES = ("exact", "misspelled", "stems", "abusive", "quoted", "per_100", "densest", "addressed", "any")
 _CACHE_WORDS = 400_000
@@ -56,6 +59,7 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = term
         self.cuts = {cut for t in self.terms if self.allowed(t) for cut in _cuts(t)}
+        self.longest = max(map(len, self.terms), default=0) + 1
         self.seen: dict[str, int] = {}
         self.hits: set[str] = set()
 
@@ -65,16 +69,23 @@ class Lexicon:
         return 1 if len(term) >= 5 else 0
 
     def kind(self, word: str) -> int:
-        """0 no match, 1 a term, 2 a misspelled term, 3 a stem."""
-        w = plain(word)
-        if not 3 <= len(w) <= 40:
+        """0 no match, 1 a term, 2 a misspelled term, 3 a stem. A word with signs inside is also looked up in parts."""
+        found = self.look(plain(word))
+        if not found and len(parts := _INNER.split(word)) > 1:
+            kinds = {self.look(plain(x)) for x in set(parts)} - {0}
+            found = next((k for k in (1, 3, 2) if k in kinds), 0)
+        return found
+
+    def look(self, w: str) -> int:
+        if len(w) < SHORTEST:
             return 0
         if w in self.terms:
             return 1
         if any(w[:n] in self.stems for n in STEMS):
             return 3
-        # Words within one edit of a term share the word or a one-letter deletion with it; others need no walk.
-        if not self.cuts.isdisjoint(_cuts(w)) and self.walk(w) is not None:
+        # Words within one edit of a term share the word or a one-letter deletion with it; others, and words too
+        # long to be that near, need no walk.
+        if len(w) <= self.longest and not self.cuts.isdisjoint(_cuts(w)) and self.walk(w) is not None:
             return 2
         return 0
 
@@ -108,6 +119,12 @@ class Lexicon:
         return {w: self.seen[w] for w in distinct & self.hits}
 
 
+def _all_words(text: str) -> set[str]:
+    """The words between blanks, and the parts of those with signs inside."""
+    words = set(text.split())
+    return words | {x for w in words for x in _INNER.split(w)}
+
+
 def _cuts(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
@@ -135,8 +152,6 @@ def context_scores(text: str, lexicon: Lexicon) -> list[float]:
         while at[first][0] < i - WIDE:
             first += 1
         densest = max(densest, j - first + 1)
-    import math
-
     return [
         math.log1p(kinds[1]), math.log1p(kinds[2]), math.log1p(kinds[3]), math.log1p(abusive), math.log1p(quoted),
         math.log1p(100 * len(at) / len(words)), float(densest), math.log1p(addressed), 1.0,
@@ -150,7 +165,7 @@ def label_words(batches):
     total, toxic = Counter(), Counter()
     for batch in batches:
         for text, label in zip(binary_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in map(plain, set(text.decode().split())) if 3 <= len(w) <= 40}
+            words = {w for w in map(plain, _all_words(text.decode(errors="replace"))) if len(w) >= SHORTEST}
             entries = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
             total.update(entries)
             if label:
@@ -158,14 +173,15 @@ def label_words(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([toxic[w] for w in total], pa.int64())], ["entry", "n", "n_toxic"])
 
 
-def learn_lexicon(known: DataFrame, toxic: int, most_terms: int = 2000, share: float = 0.8) -> Lexicon:
-    """Words and stems with share of their texts toxic, that appear in at least 4 of the toxic texts and in 3 of
-    a thousand: the more texts, the more words are in toxic ones only by chance."""
-    least = max(4, -(-3 * toxic // 1000))
+def learn_lexicon(known: DataFrame, toxic: int, share: float, least_texts: int, least_share: float) -> Lexicon:
+    """Words and stems with share of their texts toxic, that appear in at least least_texts of the toxic texts and in
+    least_share of them: the more texts, the more words are in toxic ones only by chance. As known is a bounded
+    sample, so is the lexicon; none of these entries is left out."""
+    least = max(least_texts, math.ceil(least_share * toxic))
     counted = known.select("text", "label").mapInArrow(on_workers(label_words), "entry string, n long, n_toxic long")
     summed = counted.groupBy("entry").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     rare = summed.filter((F.col("n_toxic") >= least) & (F.col("n_toxic") >= share * F.col("n")))
-    entries = [r["entry"] for r in rare.orderBy(F.col("n_toxic").desc(), "entry").limit(most_terms).collect()]
+    entries = [r["entry"] for r in rare.select("entry").collect()]
     stems = {e[:-1] for e in entries if e[-1] == "*"}
     return Lexicon([e for e in entries if e[-1] != "*"] or SEED_TERMS, {s for s in stems if not any(s != t and s.startswith(t) for t in stems)})
 
@@ -176,7 +192,7 @@ def measure(batches, terms, stems):
 
     lexicon = Lexicon(terms, stems)
     for batch in batches:
-        rows = [context_scores(t.decode(), lexicon) for t in binary_texts(batch.column(1))]
+        rows = [context_scores(t.decode(errors="replace"), lexicon) for t in binary_texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
 
@@ -207,22 +223,29 @@ def score(batches, terms, stems, weights, text_col, out):
     lexicon, w = Lexicon(terms, stems), np.array(weights)
     for batch in batches:
         texts = binary_texts(batch.column(text_col))
-        x = np.array([context_scores(t.decode(), lexicon) for t in texts], float).reshape(len(texts), len(FEATURES))
+        x = np.array([context_scores(t.decode(errors="replace"), lexicon) for t in texts], float).reshape(len(texts), len(FEATURES))
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(p)], [*out, "score"])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, sample_rows: int = 20_000, threshold: float = 0.3, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, sample_rows: int = 20_000, threshold: float = 0.3, share: float = 0.8,
+    least_texts: int = 4, least_share: float = 0.003, carry: bool = False, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (probability of label 1), predicted (score >= threshold).
 
     With carry, all columns of docs come along; those named like a result are replaced.
 
     Lexicon and weights are learned from at most sample_rows labelled documents outside the held-out part
-    (crc32(doc_id) mod parts = held); every document is scored, from its whole text alone.
+    (crc32(doc_id) mod parts = held); every document is scored, from its whole text alone. A term is a word of
+    SHORTEST letters or more of which share of the texts are toxic; it must be in least_texts toxic texts and in
+    least_share of them. Terms of five letters or more also match within one edit, and the first four or five
+    letters of words can be terms (stems). A word between blanks counts once, whole or by its parts between signs.
 
     - null, empty or blank text: no match, the lowest score. null doc_id: scored, never learned.
     - null labels are not learned; several labels of one doc_id count as their maximum.
-    - no labels, or one class only: the seed terms and default weights.
+    - no labels, or one class only: the seed terms and default weights. Ill-formed UTF-8 is read with
+      replacement characters.
     - repeated rows get equal scores. empty table: no rows. Further columns are ignored.
     """
     import numpy as np
@@ -230,7 +253,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (remainder(parts, id_col) == held).alias("held_out"))
     chosen = training_rows(labels, label, parts, held, sample_rows)
     known = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    lexicon = learn_lexicon(known, chosen.agg(F.sum("label").alias("n")).first()["n"] or 0)
+    lexicon = learn_lexicon(known, chosen.agg(F.sum("label").alias("n")).first()["n"] or 0, share, least_texts, least_share)
     terms, stems = sorted(lexicon.terms), sorted(lexicon.stems)
     rows = known.mapInArrow(on_workers(measure, terms, stems), "doc_id long, label int, features array<double>").toArrow()
     y = rows.column("label").to_numpy().astype(float)
