@@ -6,7 +6,8 @@ by that time and the order is cut where the words reach the budget. Sources that
 appearances leave the queue, and the others share what is left by weight.
 
 Cumulative sums never gather a source: words are summed per (source, slice of the shuffled order), the slice
-sums become offsets, and only a slice of about slice_rows rows is ordered at once.
+sums become offsets, and only a slice of about slice_rows rows is ordered at once (a larger one, sorted on disk if
+need be, where most_slices would be exceeded: the sums of a source's slices are ordered in one task).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def targets(sizes: list[int], weights: list[float], budget: float, repeats: int)
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, repeats: int = 3, seed: int = 11, slice_rows: int = 1000, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, repeats: int = 3, seed: int = 11, slice_rows: int = 1000, most_slices: int = 1_000_000, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, copies.
 
     Sources in code-point order (null last) get the weights in turn. The budget is share of all words.
@@ -69,8 +70,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share:
     goal = targets(sizes, w, budget, repeats)
     listed = spark.createDataFrame([(i, r["source"], sizes[i], w[i], goal[i]) for i, r in enumerate(totals)], "sid int, __source string, source_size long, weight double, target double")
 
-    slices = max(1, math.ceil(rows / slice_rows))
-    placed = base.join(listed, base["source"].eqNullSafe(listed["__source"])).withColumn("slice", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(slices)))
+    slices = min(most_slices, max(1, math.ceil(rows / slice_rows)))
+    # A row per source, of which there are at most max_sources.
+    placed = base.join(F.broadcast(listed), base["source"].eqNullSafe(listed["__source"])).withColumn("slice", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(slices)))
     sums = placed.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
@@ -114,8 +116,26 @@ def _cut(flow: DataFrame, place, budget: float, repeats: int):
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it was taken. Repeated rows share the largest number of copies."""
-    copies = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    joined = docs.withColumn("__words", word_count(text_col)).join(copies, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The documents of the mix, each as often as it was taken; mixed is mix_sources(docs).
+
+    Rows are found by doc_id, source and size. Rows alike in these (repeated rows, or several without doc_id) share
+    their copies out: their appearances are dealt round, so that together they have as many as the mix took of
+    them. The order among them is that of a hash of the text.
+
+    - null doc_id or source: equal to null. Documents of no words are never taken. empty table: no rows.
+    - the columns of docs come back whatever their names.
+    """
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    keys = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")]
+    taken = mixed.filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("times")).select(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "source", "size")], "times")
+    single = mixed.filter("size > 0").groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+    same = (F.col("size") == F.col("of_size")) & F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source"))
+    found = docs.select(*keys, F.xxhash64(text_col).alias("hash"), row).filter("size > 0").join(taken, same)
+    if single:
+        copies = F.col("times")
+    else:
+        group = Window.partitionBy("doc_id", "source", "size")
+        found = found.select("*", F.row_number().over(group.orderBy("hash")).alias("nth"), F.count(F.lit(1)).over(group).alias("rows"))
+        copies = F.floor((F.col("times") + F.col("rows") - F.col("nth")) / F.col("rows"))
+    repeated = found.select("row", copies.cast("int").alias("copies")).filter("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

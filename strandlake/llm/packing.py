@@ -87,7 +87,7 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode().lower()
+        text = word.decode(errors="replace").lower()
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return self.whole(word)
         pieces = self.pieces
@@ -107,7 +107,7 @@ class WordEncoder:
         """The word through the tokenizer itself."""
         import numpy as np
 
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -172,7 +172,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 2e-3, most
     """Patterns [(how often, {class: pieces})] that hold exactly the demand {class: pieces}, classes in units.
 
     Column generation with a revised simplex; it ends when Farley's bound shows the program to be within
-    gap of its optimum. Fractional pattern counts are rounded down and what they leave is filled greedily.
+    gap of its optimum, or after most_columns columns, should it turn in circles; every demand is packed all the
+    same. Fractional pattern counts are rounded down and what they leave is filled greedily.
     """
     import numpy as np
 
@@ -253,9 +254,12 @@ def deal(batches, table, out):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(sequence)], [*out, "sequence_id"])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, unit: int = 8, slice_rows: int = 1000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, unit: int = 8, slice_rows: int = 1000, most_slices: int = 1_000_000, gap: float = 2e-3, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 32-bit little-endian, if with_ids).
 
+    The program over the length classes (of unit ids each) is solved to within gap of its optimum; rounding adds at
+    most one pattern a class. Ranks inside a class come from slices of about slice_rows pieces, most_slices at most.
+
     Every document ends with id 1. Each id lies in exactly one piece; a sequence holds at most capacity ids.
 
     - null or blank text: one piece with the end id alone. null doc_id: packed like others.
@@ -271,9 +275,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, unit:
     demand = {r["kind"]: r["n"] for r in pieces.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not demand:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
-    table = _deal_table(cutting_stock(demand, capacity // unit))
+    table = _deal_table(cutting_stock(demand, capacity // unit, gap))
 
-    slices = F.array(*[F.lit(max(1, -(-demand.get(k, 0) // slice_rows))) for k in range(max(demand) + 1)])
+    slices = F.array(*[F.lit(min(most_slices, max(1, -(-demand.get(k, 0) // slice_rows)))) for k in range(max(demand) + 1)])
     placed = pieces.withColumn("kind", kind).withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), slices[F.col("kind")]))
     sums = placed.groupBy("kind", "slice").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("kind").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,7 +67,7 @@ def count_sections(batches, path: str, pattern: str, rule: str):
         parts, rows = fields.offsets.to_pylist(), []
         values = binary_texts(fields.values)
         for i, doc in enumerate(batch.column(0).to_pylist()):
-            texts = values[parts[i] : parts[i + 1]]
+            texts = [t.decode(errors="replace").encode() for t in values[parts[i] : parts[i + 1]]]
             whole = b"".join(texts)
             raw = np.frombuffer(whole, np.uint8)
             field_ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, rule: str = "maj
 
     - null or empty fields: no bytes; if all are, one section of no tokens. null doc_id is kept.
     - repeated rows give repeated results. empty table: no rows. Very long texts are encoded whole.
-    - further columns are ignored.
+    - ill-formed UTF-8 is read with replacement characters. Further columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
