@@ -112,6 +112,18 @@ def master_matrix(counts: DataFrame, denominators: DataFrame, rounds, p: float =
     return out.orderBy(F.col(f"`{last}`").desc(), "Peptide_Seq")
 
 
+def in_order(out: DataFrame, rounds, score: str, tie: str, site: str | None = None, sites=()) -> DataFrame:
+    """The rows of engines B and C in their final order: sites as designed, then the score of the last round (the best
+    first), then the variant. A single round has no score."""
+    order = []
+    if site is not None:
+        places = F.create_map(*[F.lit(x) for k, name in enumerate(sites) for x in (name, k)])
+        order.append(F.coalesce(F.try_element_at(places, F.col(f"`{site}`")), F.lit(len(sites))) if sites else F.col(f"`{site}`"))
+    if score in out.columns:
+        order.append(F.coalesce(F.col(f"`{score}`"), F.lit(0.0)).desc())
+    return out.orderBy(*order, F.col(f"`{tie}`"))
+
+
 def site_matrix(counts: DataFrame, denominators: DataFrame, wild: DataFrame, rounds, p: float = S.PSEUDOCOUNT, min_baseline: int | None = None) -> DataFrame:
     """Engine B's per-site matrix."""
     out = analyse(counts, denominators, rounds, ["site"], p, wild, min_baseline)

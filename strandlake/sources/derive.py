@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.seq import CODONS, STOPS, reverse_complement
 from strandlake.operators.demux import Round
 from strandlake.operators.ssm import Site
-from strandlake.tables import settle
+from strandlake.tables import settle, spread
 
 BARCODE = "ACGTTGCAAGCTTC"
 ANCHORS = ("GCTCAGATCG", "GCTCAGATTG", "GCTCAGACAG")
@@ -31,7 +31,7 @@ def codon(k: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"))
 
 
 def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

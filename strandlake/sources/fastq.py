@@ -1,6 +1,7 @@
 """The fastq data source: batch and streaming readers over plain or gzipped FASTQ, strict or resilient.
 
-Framing is sequential, so a file is one partition; give a round many shards to read it in parallel.
+Framing is sequential, so a file is one partition; give a round many shards to read it in parallel. Files are local
+(on a mount of all executors) or in a store that Arrow's file systems open, such as hdfs://, s3:// and gs://.
 Register it with `spark.dataSource.register(FastqDataSource)`.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -88,9 +91,37 @@ def resilient_records(rows: Iterable[bytes]) -> Iterator[tuple[bytes, bytes, byt
         yield header, seq, sep, b"" if missing else at.take() or b""
 
 
+def _store(path: str):
+    """The file system of a URI such as hdfs://, s3:// or gs://, and the path in it; None for local files."""
+    if "://" not in path or path.startswith("file://"):
+        return None, path.removeprefix("file://")
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path)
+
+
+def open_bytes(path: str):
+    """A file for reading, local or in an object store, opened anew by each task and unpacked if its name ends in .gz."""
+    store, inside = _store(path)
+    raw = open(inside, "rb") if store is None else store.open_input_stream(inside, compression=None)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+
+
+def list_files(path: str) -> list[str]:
+    """The FASTQ files of a folder in the order of their names, or the file itself."""
+    store, inside = _store(path)
+    if store is None:
+        return sorted(os.path.join(inside, f) for f in os.listdir(inside) if f.endswith(SUFFIXES)) if os.path.isdir(inside) else [inside]
+    from pyarrow.fs import FileSelector, FileType
+
+    if store.get_file_info(inside).type != FileType.Directory:
+        return [path]
+    base = path.rstrip("/")
+    return sorted(f"{base}/{f.base_name}" for f in store.get_file_info(FileSelector(inside)) if f.type == FileType.File and f.base_name.endswith(SUFFIXES))
+
+
 def chunks_of(path: str, size: int = 1 << 20) -> Iterator[bytes]:
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "rb") as f:
+    with open_bytes(path) as f:
         while chunk := f.read(size):
             yield chunk
 
@@ -104,6 +135,17 @@ def read_file(path: str, mode: str = "resilient", most: int | None = None) -> It
         yield (ordinal, *(x.decode("latin-1") for x in record))
 
 
+def record_batches(path: str, source: int, mode: str, most: int | None, rows: int = 4096):
+    """The records of a file as Arrow batches in the order of SCHEMA."""
+    import pyarrow as pa
+
+    fields = [("source_id", pa.int32()), ("source_name", pa.string()), ("ordinal", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "sep", "qual"))]
+    records, name = read_file(path, mode, most), os.path.basename(path)
+    while held := list(islice(records, rows)):
+        columns = [[source] * len(held), [name] * len(held), *zip(*held, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 class _File(InputPartition):
     def __init__(self, index: int, path: str):
         super().__init__(index)
@@ -114,35 +156,35 @@ def _paths(options) -> list[str]:
     """The files of the option paths (a JSON list, whose order numbers the sources) or path (a file or folder)."""
     if options.get("paths"):
         return json.loads(options["paths"])
-    path = (options.get("path") or "").removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(SUFFIXES))
-    if not path:
+    if not options.get("path"):
         raise ValueError("fastq needs the option path or paths")
-    return [path]
+    return list_files(options["path"])
 
 
-class _Reader(DataSourceReader):
+def stable_id(path: str) -> int:
+    """A number of 31 bits for a file, the same whatever other files there are."""
+    return zlib.crc32(path.encode()) & 0x7FFFFFFF
+
+
+class _Options:
     def __init__(self, options):
-        self.files, self.mode = _paths(options), options.get("mode", "resilient")
+        self.options, self.mode = options, options.get("mode", "resilient")
         self.most = int(options["maxReadsPerSource"]) if options.get("maxReadsPerSource") else None
         if self.mode not in ("strict", "resilient"):
             raise ValueError("mode is strict or resilient")
 
-    def partitions(self):
-        return [_File(i, p) for i, p in enumerate(self.files)]
-
     def read(self, partition):
-        name = os.path.basename(partition.path)
-        for record in read_file(partition.path, self.mode, self.most):
-            yield (partition.index, name, *record)
+        return record_batches(partition.path, partition.index, self.mode, self.most)
 
 
-class _StreamReader(DataSourceStreamReader):
-    """A micro-batch is the files that have come since the last one; the offset is how many there were."""
+class _Reader(_Options, DataSourceReader):
+    def partitions(self):
+        return [_File(i, p) for i, p in enumerate(_paths(self.options))]
 
-    def __init__(self, options):
-        self.options, self.mode = options, options.get("mode", "resilient")
+
+class _StreamReader(_Options, DataSourceStreamReader):
+    """A micro-batch is the files that have come since the last one; the offset lists those that were there. Files
+    come in any order, so a source's number is made of its path."""
 
     def initialOffset(self):
         return {"files": []}
@@ -152,12 +194,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         known = set(start["files"])
-        return [_File(i, p) for i, p in enumerate(end["files"]) if p not in known]
-
-    def read(self, partition):
-        name = os.path.basename(partition.path)
-        for record in read_file(partition.path, self.mode):
-            yield (partition.index, name, *record)
+        return [_File(stable_id(p), p) for p in end["files"] if p not in known]
 
     def commit(self, end):
         pass

@@ -108,6 +108,21 @@ def targeted_run_stats(settings, funnel: DataFrame, site_funnel: DataFrame, codo
     return json.dumps(payload, sort_keys=True, indent=2)
 
 
+def callability(states: list[dict], rounds, sites: list[str]) -> str:
+    """callability.csv of engine C: for each round and target the states and the share of reads that are callable, in the
+    order of the design; every cell quoted."""
+    columns = ["round", "target", "callable", "callable_full", "callable_rescued", "low_quality", "not_covered", "ambiguous", "target_indel", "stop_codon", "callability"]
+    seen = {(r["round_idx"], r["site"]): r for r in states}
+    rows = []
+    for k, name in enumerate(rounds):
+        for site in sites:
+            r = seen.get((k, site), {})
+            lost = sum(r.get(c, 0) for c in ("low_quality", "not_covered", "ambiguous", "target_indel"))
+            good = r.get("passed_qc", 0)
+            rows.append({c: r.get(c, 0) for c in columns[3:10]} | {"round": name, "target": site, "callable": good, "callability": f"{good / max(1, good + lost):.6f}"})
+    return quoted_csv(columns, rows)
+
+
 def qc_report(title: str, rounds: list[dict], unassigned: dict | None = None, warnings: Iterable[str] = ()) -> str:
     """A plain-text report: per round its buckets with their shares, then the unassigned and warnings."""
     out = [title, "=" * len(title), ""]

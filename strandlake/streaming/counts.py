@@ -23,11 +23,17 @@ def running_counts(reads: DataFrame, rounds, settings: Settings = Settings()) ->
     return demultiplex(reads, rounds, settings).filter("bucket = 'passed_qc'").groupBy("round", "dna").agg(F.count(F.lit(1)).alias("n"))
 
 
-def drop_duplicate_reads(reads: DataFrame) -> DataFrame:
-    """Each read id of a source once. A stream keeps the copy that comes first; the first in locked order is a
-    batch matter."""
+def drop_duplicate_reads(reads: DataFrame, rounds: dict[str, int] | None = None, watermark: str | None = None) -> DataFrame:
+    """Each read id of a round once, whichever of the round's files it is in; rounds maps a file's name to its round, and
+    without it every file is a round of its own. A stream keeps the copy that comes first; the first in locked
+    order is a batch matter. The state holds every read id, unless reads has a column ts and watermark a delay
+    after which copies no longer come."""
     valid = is_valid_record(*(F.col(c) for c in ("header", "seq", "sep", "qual")))
-    return reads.filter(valid).withColumn("read_id", read_id(F.col("header"))).dropDuplicates(["source_id", "read_id"])
+    of = F.col("source_name") if rounds is None else F.try_element_at(F.create_map(*[F.lit(x) for p in rounds.items() for x in p]), F.col("source_name"))
+    out = reads.filter(valid).withColumns({"round_key": of, "read_id": read_id(F.col("header"))})
+    if watermark is not None:
+        return out.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["round_key", "read_id"])
+    return out.dropDuplicates(["round_key", "read_id"])
 
 
 def run_matrix(reads: DataFrame, rounds, folder: str, settings: Settings = Settings()) -> StreamingQuery:
