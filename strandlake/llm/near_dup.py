@@ -493,10 +493,12 @@ def candidates(texts: DataFrame, percent: int, width: int, frequent_texts: int,
 
 
 def same_row(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Joins on (doc_id, rid), where no doc_id equals no doc_id; the columns of left and the others of right."""
+    """Joins on (doc_id, rid), where no doc_id equals no doc_id; the columns of left and the others of right.
+
+    Both grow with the input, so neither is broadcast, however small it is just now."""
     others = [c for c in right.columns if c not in ("doc_id", "rid")]
     keys = right.select(F.col("doc_id").alias("__doc_id"), F.col("rid").alias("__rid"), *others)
-    return left.join(keys, (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select(*left.columns, *others)
+    return left.hint("merge").join(keys, (F.col("rid") == F.col("__rid")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select(*left.columns, *others)
 
 
 def by_size(members: DataFrame, large_group: int, large_shingles: int) -> tuple[DataFrame, DataFrame]:
@@ -568,9 +570,10 @@ def pivot_round(texts: DataFrame, members: DataFrame, width: int, percent: int,
 
 def jaccard_components(
     docs: DataFrame, percent: int = 75, width: int = 5, frequent_texts: int = 3, most_frequent: int = 1 << 20, part_entries: int = 1_500_000, most_partitions: int = 10_000,
-    large_group: int = 2000, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
+    large_group: int = 5000, large_shingles: int = 2_000_000, pivots: int = 16, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
+    """One row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links),
+    component (equal for what is linked, also without any doc_id; null for empty sets), text_hash (xxhash64 of the text).
 
     Sets hold 64-bit hashes of the word shingles (A-Z lower-cased, words between ASCII blanks). Equal sets are
     linked and joined once. Shingles that frequent_texts texts or more have come last in the order of the
@@ -621,8 +624,11 @@ def jaccard_components(
         stars = connected(solved.filter("not whole").select(F.col("digest").alias("a"), F.col("root").alias("b")))
         reached = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("digest"), F.col("b").alias("root"))
         least = reached.join(firsts, "digest").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        solved = solved.filter("whole").select("digest", "component_id").union(reached.join(least, "root").select("digest", "component_id"))
-    known = firsts.join(solved.select("digest", "component_id", F.lit(True).alias("met")), "digest", "left")
-    known = stage(known.select("digest", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "near-components")
-    linked = sets.filter("n > 0").join(known, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        solved = solved.filter("whole").select("digest", "root", "component_id").union(reached.join(least, "root").select("digest", "root", "component_id"))
+    # A set that met no other is a component of its own.
+    known = firsts.join(solved.select("digest", "root", "component_id"), "digest", "left")
+    alone = F.col("root").isNull()
+    known = stage(known.select("digest", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "digest").alias("component")), "near-components")
+    linked = sets.filter("n > 0").join(known, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component", F.col("rid").alias("text_hash"))
+    empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"), F.col("rid").alias("text_hash"))
+    return linked.union(empty)
