@@ -23,7 +23,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(load(spark, sf_dir, "documents"))
+    return jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def test_one_id_with_several_texts(spark):
     assert got == [(1, 40, 1), (5, 38, 1), (5, 40, 5), (9, 38, 5), (9, 38, 5)]
 
 
-@pytest.mark.parametrize(("seed", "pivots", "large"), [(1, 1, 3), (2, 2, 3), (3, 4, 6)])
+@pytest.mark.parametrize(("seed", "pivots", "large"), [(2, 2, 3), (3, 4, 6)])
 def test_rounds_of_pivots_lose_no_link(spark, seed, pivots, large):
     rng = random.Random(seed)
     sets = [{f"{k}x{w}" for w in s} for k in range(4) for s in drifting(rng, 120)]
