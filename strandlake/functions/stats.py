@@ -108,14 +108,15 @@ def finite_median(x: Column) -> Column:
     return F.coalesce(F.median(F.when(finite(x), x)), F.lit(0.0))
 
 
-def bh_fdr(df: DataFrame, p: str, q: str, family: list[str] | None = None) -> DataFrame:
-    """Adds Benjamini-Hochberg q-values within each family; invalid p-values get NaN, NULL stays NULL.
+def bh_fdr(df: DataFrame, p: str, q: str, family: list[str] | None = None, checked: bool = True) -> DataFrame:
+    """Adds Benjamini-Hochberg q-values within each family; invalid p-values get NaN, NULL stays NULL. Unless checked,
+    every p-value that isn't NULL counts, as in the dashboard's own tests.
 
     Equal p-values share their q, so ranks are sums over the distinct p-values of a family. Those are
     aggregated on the map side; only they pass through the ordered windows, never the rows themselves.
     """
     family = family or []
-    valid = F.col(p).between(0.0, 1.0) & ~F.isnan(p)
+    valid = F.col(p).between(0.0, 1.0) & ~F.isnan(p) if checked else F.col(p).isNotNull()
     counts = df.filter(valid).groupBy(*family, p).agg(F.count(F.lit(1)).alias("__n"))
     up = Window.partitionBy(*family).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*family).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)

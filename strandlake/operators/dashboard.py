@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats as S
+from strandlake.tables import stage
 
 
 def gini(counts: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
@@ -112,6 +113,30 @@ def scatter(counts: DataFrame, x: str, y: str, tie: str, points: int = 2000, top
     return rows.crossJoin(F.broadcast(n)).filter((F.col("rank") <= top) | ((F.col("rank") - top - 1) % F.col("__stride") == 0)).drop("__stride")
 
 
+def pairwise_tests(matrix: DataFrame, source: int, dest: int, pseudocount: float = S.PSEUDOCOUNT) -> DataFrame:
+    """aa, log2fc, p, q for two rounds of a matrix (columns aa, c{i}, n{i}), where it holds no tests of its own for them:
+    Fisher's exact test or the corrected chi-square for each row, and q over all rows. No rows if a round is empty."""
+    a, b, na, nb = (F.col(c).cast("double") for c in (f"c{dest}", f"c{source}", f"n{dest}", f"n{source}"))
+    cells = [x.cast("long") for x in (a, b, na - a, nb - b)]
+    tested = matrix.filter((na > 0) & (nb > 0)).select("aa", S.log2_rpm_ratio(a, na, b, nb, pseudocount).alias("log2fc"), S.enrichment_p(*cells).alias("p"))
+    return S.bh_fdr(stage(tested, "pairwise"), "p", "q", checked=False)
+
+
+def count_sample(counts: DataFrame, keys: list[str], value: str, tie: str, cap: int = 30_000, top: int = 20, seed: int = 7) -> DataFrame:
+    """keys, value, kind: for histograms and rank curves, the top values of each group and a sample of cap of its rows by
+    seeded hash (all rows if there are no more); a row may be in both."""
+    best = Window.partitionBy(*keys).orderBy(F.col(value).desc(), tie)
+    drawn = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, tie), tie)
+    positive = counts.filter(F.col(value) > 0)
+    head = positive.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top).select(*keys, value, F.lit("top").alias("kind"))
+    return head.union(positive.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= cap).select(*keys, value, F.lit("sample").alias("kind")))
+
+
+def preview(matrix: DataFrame, order: list, rows: int = 200) -> DataFrame:
+    """The first rows of a matrix in its final order."""
+    return matrix.orderBy(*order).limit(rows)
+
+
 def sankey(funnel: DataFrame, discards) -> DataFrame:
     """Links from each round to its buckets; links without reads are left out."""
     links = F.explode(F.array(*[F.struct(F.lit(d).alias("target"), F.col(d).cast("long").alias("reads")) for d in discards]))

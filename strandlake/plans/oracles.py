@@ -282,6 +282,9 @@ _CHOOSE = "(lgamma({0} + 1.0e0) - lgamma({1} + 1.0e0) - lgamma({0} - {1} + 1.0e0
 _RIGHT_TAIL = f"list_sum([exp({_CHOOSE.format('(a + c)', 'k')} + {_CHOOSE.format('(b + d)', '(a + b - k)')} - {_CHOOSE.format('n', '(a + b)')}) FOR k IN range(a::BIGINT, least(a + b, a + c)::BIGINT + 1)])"
 
 
+_PAIR = f"{_ST}, w AS (SELECT aa, max(c) FILTER (round = 'Round_2')::DOUBLE AS a, max(c) FILTER (round = 'Round_1')::DOUBLE AS b, max(tot) FILTER (round = 'Round_2') AS ta, max(tot) FILTER (round = 'Round_1') AS tb FROM st GROUP BY aa), t AS (SELECT aa, a, b, ta - a AS c, tb - b AS d, log2(({_rpm('a', 'ta')} + 0.5e0) / ({_rpm('b', 'tb')} + 0.5e0)) AS fc FROM w), x AS (SELECT *, a + b + c + d AS n, (a + b) * (c + d) * (a + c) * (b + d) AS mg, abs(a * d - b * c) - (a + b + c + d) / 2 AS ex FROM t), y AS (SELECT *, mg > 0 AND a * n > (a + b) * (a + c) AND ex > 0 AS ok, CASE WHEN mg > 0 AND ex > 0 THEN ex * ex * n / mg END AS chi FROM x), pv AS (SELECT aa, fc, CASE WHEN least(a, b, c, d) < 5 THEN CASE WHEN a + b = 0 OR a + c = 0 OR b + d = 0 THEN 1 ELSE least(1, {_RIGHT_TAIL}) END WHEN ok THEN 0.5e0 * {_ERFC} ELSE 1 END AS p FROM y), pr AS (SELECT *, row_number() OVER (ORDER BY p) AS pos, count(*) OVER () AS m FROM pv), pq AS (SELECT aa, fc, p, min(least(1.0e0, p * m / pos)) OVER (ORDER BY p DESC, pos DESC ROWS UNBOUNDED PRECEDING) AS q FROM pr)"
+
+
 ORACLES = {
     "read_validity": f"WITH {_READS} SELECT ordinal, valid FROM judged",
     "mean_phred_filter": f"WITH {_READS} SELECT ordinal, round({_mean_q('qual')}, 6) AS read_q FROM reads WHERE round({_mean_q('qual')}, 6) >= 20",
@@ -345,4 +348,16 @@ ORACLES = {
     "targeted_site_funnel": f"WITH {_AMPLICONS} SELECT source_id AS round_idx, site, count(*) FILTER (status = 'low_quality') AS low_quality, 0::BIGINT AS not_covered, 0::BIGINT AS ambiguous, count(*) FILTER (status = 'stop_codon') AS stop_codon, 0::BIGINT AS target_indel, count(*) FILTER (counted) AS passed_qc, count(*) FILTER (counted AND lost IS NULL) AS callable_full, count(*) FILTER (counted AND lost IS NOT NULL) AS callable_rescued, count(*) FILTER (counted AND {_aa('dna')} = {_aa('wt')}) AS wt_count FROM tcalls GROUP BY source_id, site",
     "targeted_matrix": _target_matrix(_TCOUNTS, "tc", "site", _aa("dna"), ("Target", "Variant_AA", "Dominant_DNA")),
     "targeted_combinations": _target_matrix(_CCOUNTS, "cc", "", _BAR_AA, ("Combination_AA", "Combination_DNA")),
+    "pairwise_tests": f"WITH {_PAIR} SELECT aa, round(fc, 6) AS log2fc, round(p, 9) AS p, round(q, 9) AS q FROM pq",
+    "volcano_recomputed": f"WITH {_PAIR}, w2 AS (SELECT aa, round(fc, 6) AS score, round(q, 6) AS q FROM pq), r AS (SELECT aa, score, q, row_number() OVER (ORDER BY score DESC, aa)::INT AS rank, q < 0.05 AND score > 1 AS significant FROM w2), k AS (SELECT *, rank <= 20 OR significant AS keep FROM r), g AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (ORDER BY rank) AS place, count(*) FILTER (keep) OVER () AS kept, count(*) FILTER (NOT keep) OVER () AS others FROM k) SELECT aa, score, q, rank, significant, round(CASE WHEN q <= 0 THEN 300 WHEN q >= 1 THEN 0 ELSE -log10(q) END, 6) AS neg_log10_q FROM g WHERE keep OR (place - 1) % greatest(1, ceil(others / greatest(1500 - kept, 1)::DOUBLE))::INT = 0",
+    "count_sample": f"WITH {_RANKED}, pos AS (SELECT * FROM ra WHERE n > 0) SELECT round, n, 'top' AS kind FROM pos WHERE rank <= 20 UNION ALL SELECT round, n, 'sample' FROM pos WHERE rows <= 30000",
+    "matrix_preview": f'SELECT * FROM ({_matrix()}) ORDER BY "Centered_Enrich_Round_2_vs_Round_0" DESC, "Peptide_Seq" LIMIT 200',
+    "target_fdr_hits": f"WITH {_TCOUNTS}, {_stats('tc', 'site', _aa('dna'), least=10)} SELECT site AS \"Target\", 'FDR_q_' || round || '_vs_Round_0' AS comparison, {_HITS} FROM st WHERE eligible AND round <> 'Round_0' GROUP BY site, round",
+    "site_fdr_hits": f"WITH {_FIT} SELECT site, 'q2' AS comparison, {_HITS} FROM st WHERE round = 'Round_2' GROUP BY site",
+    "alignment_events": f"""WITH {_AMPLICONS}, cells AS (SELECT ordinal, s, flanked, ops, i, substr(ops, i::INT, 1) AS op, length(regexp_replace(substr(ops, 1, (i - 1)::INT), 'I', '', 'g')) AS ref_pos,
+        CASE WHEN flanked THEN 7 ELSE 0 END + length(regexp_replace(substr(ops, 1, (i - 1)::INT), 'D', '', 'g')) AS read_pos, substr(ops, (i - 1)::INT, 1) AS before, length(regexp_extract(substr(ops, i::INT), '^(I+|D+|.)')) AS run
+        FROM aligned, range(1, 400) t(i) WHERE early IS NULL AND i <= length(ops) AND regexp_matches(ops, '[XID]'))
+        SELECT ordinal, CASE op WHEN 'X' THEN 'substitution' WHEN 'I' THEN 'insertion' ELSE 'deletion' END AS type, ref_pos::INT AS ref_pos, read_pos::INT AS read_pos,
+        CASE op WHEN 'I' THEN '' ELSE substr('{_REF}', (ref_pos + 1)::INT, run::INT) END AS ref, CASE op WHEN 'D' THEN '' ELSE substr(s, (read_pos + 1)::INT, run::INT) END AS alt
+        FROM cells WHERE op = 'X' OR (op IN ('I', 'D') AND (i = 1 OR before <> op))""",
 }

@@ -289,6 +289,39 @@ def scatter_points(spark, sf_dir):
     return H.scatter(_analysed(spark, sf_dir).select("aa", "c0", "c2"), "c0", "c2", "aa")
 
 
+def pairwise_tests(spark, sf_dir):
+    out = H.pairwise_tests(_analysed(spark, sf_dir), 1, 2)
+    return out.select("aa", *r6("log2fc"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+
+
+def volcano_recomputed(spark, sf_dir):
+    out = H.pairwise_tests(_analysed(spark, sf_dir), 1, 2).select("aa", F.round("log2fc", 6).alias("score"), F.round("q", 6).alias("q"))
+    return H.volcano(out, "score", "q", "aa").select("aa", "score", "q", "rank", "significant", *r6("neg_log10_q"))
+
+
+def count_sample(spark, sf_dir):
+    return H.count_sample(_aa_counts(spark, sf_dir), ["round"], "n", "aa")
+
+
+def matrix_preview(spark, sf_dir):
+    last = "Centered_Enrich_Round_2_vs_Round_0"
+    return H.preview(master_matrix(spark, sf_dir), [F.col(last).desc(), "Peptide_Seq"])
+
+
+def target_fdr_hits(spark, sf_dir):
+    matrix = targeted_matrix(spark, sf_dir).filter("Score_Eligible")
+    return E.fdr_hits(matrix, ["FDR_q_Round_1_vs_Round_0", "FDR_q_Round_2_vs_Round_0"], ["Target"])
+
+
+def site_fdr_hits(spark, sf_dir):
+    return E.fdr_hits(_fitness(spark, sf_dir), ["q2"], ["site"])
+
+
+def alignment_events(spark, sf_dir):
+    rows = _aligned(spark, sf_dir)[0].filter("aligned").select("ordinal", F.explode("events").alias("e"))
+    return rows.select("ordinal", "e.type", "e.ref_pos", "e.read_pos", "e.ref", "e.alt")
+
+
 def yates_chi2(spark, sf_dir):
     out = _tables_2x2(spark, sf_dir)
     return out.select("aa", F.round(S.yates_chi2_right(*(F.col(c) for c in "abcd")), 6).alias("p"))
@@ -370,6 +403,6 @@ QUERIES = {
         exact_combination_table, combination_label, gini, power_law_slope, count_histogram, histogram_fit, logo_information, target_logo,
         rank_abundance, top_bottom_n, volcano_points, scatter_points, yates_chi2, fisher_exact, sankey_links, q_quantiles, zero_coverage,
         shard_union_invariance, round_totals, targeted_align, targeted_calls, targeted_funnel, targeted_site_funnel, targeted_matrix,
-        targeted_combinations,
+        targeted_combinations, pairwise_tests, volcano_recomputed, count_sample, matrix_preview, target_fdr_hits, site_fdr_hits, alignment_events,
     )
 }
