@@ -108,8 +108,9 @@ def survey(batches, width: int, parts: int):
         none = [None] * len(keys)
         return table(keys, none, none, none, none, none, [upper[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
 
-    held, size, seen = [], 0, set()
+    held, size, seen, turn = [], 0, set(), None
     for batch in batches:
+        turn = batch.column(1)[0].as_py() % parts if turn is None and batch.num_rows else turn
         ns, digests = [], []
         for text in binary_texts(batch.column(2)):
             h = shingles(text, width)
@@ -124,7 +125,9 @@ def survey(batches, width: int, parts: int):
                 yield counted()
                 held, size, seen = [], 0, set()
         nodes = [node_of(d) for d in digests]
-        yield table([x % parts for x in nodes], batch.column(0), batch.column(1), ns, digests, nodes, [None] * len(nodes))
+        # Documents only pass through the parts, so they are dealt round: copies of one text have the same node.
+        yield table([(turn + k) % parts for k in range(len(nodes))], batch.column(0), batch.column(1), ns, digests, nodes, [None] * len(nodes))
+        turn += len(nodes)
     if size:
         yield counted()
 
