@@ -24,7 +24,7 @@ def plain(v):
     return round(float(v), 5) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["demux_assign", "demux_per_round", "funnel_strict", "master_matrix", "ssm_attempt_funnel", "haplotype_fitness", "eligibility_gate", "readid_dedup", "volcano_points", "yates_chi2"])
+@pytest.mark.parametrize("name", ["demux_assign", "demux_per_round", "funnel_strict", "master_matrix", "ssm_attempt_funnel", "haplotype_fitness", "eligibility_gate", "readid_dedup", "volcano_points", "yates_chi2", "banded_match", "targeted_align", "targeted_calls", "targeted_matrix", "targeted_combinations", "alignment_events", "pairwise_tests", "fisher_exact", "count_sample"])
 def test_query_agrees_with_its_sql(spark, name):
     got = QUERIES[name](spark, SF)
     duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
