@@ -41,9 +41,11 @@ _CACHE_WORDS = 400_000
 
 def plain(word: str) -> str:
     """A word as it is looked up: lower case, letters for look-alikes, no signs around it, no long runs."""
-    word = _TRIM.sub("", word.lower())
+    word = word.lower()
     if not word.isalpha():
-        word = _TRIM.sub("", word.translate(_LEET))
+        word = _TRIM.sub("", word)
+        if not word.isalpha():
+            word = _TRIM.sub("", word.translate(_LEET))
     return _LONG_RUN.sub(r"\1\1", word)
 
 
@@ -59,6 +61,9 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = term
         self.cuts = {cut for t in self.terms if self.allowed(t) for cut in _cuts(t)}
+        # A word within one edit of a term has one half of it whole, at its own beginning or end.
+        halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t in self.terms if self.allowed(t)]
+        self.heads, self.tails = (sorted({len(h): {x for x in part if len(x) == len(h)} for h in part}.items()) for part in ({a for a, _ in halves}, {b for _, b in halves}))
         self.longest = max(map(len, self.terms), default=0) + 1
         self.seen: dict[str, int] = {}
         self.hits: set[str] = set()
@@ -71,7 +76,7 @@ class Lexicon:
     def kind(self, word: str) -> int:
         """0 no match, 1 a term, 2 a misspelled term, 3 a stem. A word with signs inside is also looked up in parts."""
         found = self.look(plain(word))
-        if not found and len(parts := _INNER.split(word)) > 1:
+        if not found and not word.isalpha() and len(parts := _INNER.split(_TRIM.sub("", word))) > 1:
             kinds = {self.look(plain(x)) for x in set(parts)} - {0}
             found = next((k for k in (1, 3, 2) if k in kinds), 0)
         return found
@@ -83,27 +88,48 @@ class Lexicon:
             return 1
         if any(w[:n] in self.stems for n in STEMS):
             return 3
-        # Words within one edit of a term share the word or a one-letter deletion with it; others, and words too
-        # long to be that near, need no walk.
-        if len(w) <= self.longest and not self.cuts.isdisjoint(_cuts(w)) and self.walk(w) is not None:
-            return 2
-        return 0
+        return 2 if len(w) <= self.longest and self.near(w) and self.walk(w) is not None else 0
+
+    def near(self, w: str) -> bool:
+        """False for words that no walk can match: more than one edit from every term, by its halves and by what is
+        left of both after a letter is deleted."""
+        for k, heads in self.heads:
+            if w[:k] in heads:
+                break
+        else:
+            for k, tails in self.tails:
+                if w[-k:] in tails:
+                    break
+            else:
+                return False
+        return not self.cuts.isdisjoint(_cuts(w))
 
     def walk(self, word: str, limit: int = 1):
-        """The trie met with the Levenshtein automaton of word: a term within limit edits, or None."""
-        stack = [(self.trie, list(range(len(word) + 1)))]
+        """The trie met with the Levenshtein automaton of word: a term within limit edits, or None.
+
+        A state is the row of edit distances between the trie's prefix and the word's beginnings; only those of about
+        the prefix's length can be within the limit, so that is all that is kept: row[k] is that of length
+        depth - limit + k."""
+        n, wide, far = len(word), 2 * limit + 1, limit + 1
+        start = [abs(k - limit) if 0 <= k - limit <= n else far for k in range(wide)]
+        stack = [(self.trie, start, 0)]
         while stack:
-            node, row = stack.pop()
+            node, row, depth = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= min(limit, self.allowed(child)):
+                    if 0 <= n - depth + limit < wide and row[n - depth + limit] <= min(limit, self.allowed(child)):
                         return child
                     continue
-                after = [row[0] + 1]
-                for i, x in enumerate(word):
-                    after.append(min(after[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
+                after, left = [], far
+                for k in range(wide):
+                    i = depth + 1 - limit + k
+                    if not 0 <= i <= n:
+                        left = far
+                    else:
+                        left = min(left + 1, row[k + 1] + 1 if k + 1 < wide else far, row[k] + (word[i - 1] != c) if i else far)
+                    after.append(left)
                 if min(after) <= limit:
-                    stack.append((child, after))
+                    stack.append((child, after, depth + 1))
         return None
 
     def matched(self, words: list[str]) -> dict[str, int]:
@@ -122,7 +148,7 @@ class Lexicon:
 def _all_words(text: str) -> set[str]:
     """The words between blanks, and the parts of those with signs inside."""
     words = set(text.split())
-    return words | {x for w in words for x in _INNER.split(w)}
+    return words | {x for w in words if not w.isalpha() for x in _INNER.split(w)}
 
 
 def _cuts(word: str) -> set[str]:
