@@ -23,6 +23,7 @@ from .common import binary_texts, on_workers
 RATE, FRAME, HOP, PEAKS, FAN_OUT, BLOCK = 8000, 128, 32, 8, 2, 1024
 SILENCE = -128  # of a byte 0
 ALIGN = 64
+MOST_PAIRS = 250_000  # of a batch of results, or those of one text
 
 
 def padded(data: bytes, align: int = ALIGN) -> bytes:
@@ -54,7 +55,7 @@ def landmarks(payload: bytes):
     samples = np.pad(samples, (edge, edge + -(len(samples) + edge) % HOP), constant_values=SILENCE)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
-    peaks = np.empty((len(frames), PEAKS), np.int64)
+    peaks = np.empty((len(frames), PEAKS), np.int32)
     for at in range(0, len(frames), BLOCK):
         block = frames[at : at + BLOCK]
         power = np.abs(np.fft.rfft((block - block.mean(axis=1, keepdims=True)) * window, axis=1))
@@ -71,15 +72,13 @@ def fingerprint(payload: bytes):
 
     peaks = landmarks(payload)
     first = peaks[:, 0]
-    pairs = [(first[:-step], first[step:], step) for step in range(1, FAN_OUT + 1)]
-    pairs += [(first, peaks[:, rank], FAN_OUT + rank) for rank in range(1, PEAKS)]
-    found = []
-    for one, two, code in pairs:
-        at = np.flatnonzero((one >= 0) & (two >= 0))
-        found.append((at, (one[at] << 16) | (two[at] << 4) | code))
-    times, codes = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((codes & 15, times))
-    return times[order].astype(np.int32), codes[order].astype(np.int32)
+    others = np.full((len(peaks), FAN_OUT + PEAKS - 1), -1, np.int32)  # the second bin of a frame's pairs, by distance
+    for step in range(1, FAN_OUT + 1):
+        others[:-step, step - 1] = first[step:]
+    others[:, FAN_OUT:] = peaks[:, 1:]
+    paired = (others >= 0) & (first >= 0)[:, None]
+    codes = (first[:, None] << 16) | (others << 4) | np.arange(1, others.shape[1] + 1, dtype=np.int32)
+    return np.nonzero(paired)[0].astype(np.int32), codes[paired]
 
 
 _FIELDS = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
@@ -90,7 +89,7 @@ def store_and_read(batches, with_media: bool):
     import pyarrow as pa
 
     for batch in batches:
-        rows, media_out = [], []
+        rows, media_out, pairs = [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True):
             media = to_wav(padded(text))
             back = from_wav(media)
@@ -98,9 +97,10 @@ def store_and_read(batches, with_media: bool):
             rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), times, codes))
             if with_media:
                 media_out.append(media)
-            if len(rows) == 512:
+            pairs += len(times)
+            if pairs >= MOST_PAIRS:
                 yield _batch(pa, rows, media_out, with_media)
-                rows, media_out = [], []
+                rows, media_out, pairs = [], [], 0
         if rows:
             yield _batch(pa, rows, media_out, with_media)
 

@@ -44,8 +44,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_columns(load(spark, sf_dir, "documents"))
-    code = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(x))), ".")
-    feature = F.concat_ws("|", code(F.col("peak_times")), code(F.col("peak_codes")))
+    digests = [F.lower(F.hex(F.xxhash64(F.lit(k), c))) for k, c in enumerate(("peak_times", "peak_codes"))]
+    feature = F.concat_ws("-", F.size("peak_times").cast("string"), *digests)
     return stored.withColumn("feature", feature).drop("peak_times", "peak_codes")
 
 
