@@ -36,7 +36,7 @@ STEMS = (4, 5)
 SHORTEST = 3  # letters of a term
 NEAR, WIDE = 8, 20
 FEATURES = ("exact", "misspelled", "stems", "abusive", "quoted", "per_100", "densest", "addressed", "any")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 def plain(word: str) -> str:
