@@ -82,4 +82,30 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE cut AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS s FROM cut),
+        held AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM sets""",
+    "op6_suffix_dedup": r"""
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        strings AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, h FROM docs WHERE n >= 100),
+        keyed AS (SELECT doc_id, i, md5(substr(h, (2 * i + 1)::BIGINT, 200)) AS k FROM strings),
+        late AS (SELECT doc_id, i FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        runs AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS new FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs),
+        spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi, run FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY run)),
+        parts AS (SELECT g.doc_id, g.run, substr(h, (2 * g.lo + 1)::BIGINT, (2 * (g.hi - g.lo))::BIGINT) AS p FROM gaps g JOIN docs USING (doc_id)
+          UNION ALL SELECT s.doc_id, 1000000000, substr(h, (2 * s.hi + 1)::BIGINT, (2 * (n - s.hi))::BIGINT) FROM (SELECT doc_id, max(hi) AS hi FROM spans GROUP BY doc_id) s JOIN docs USING (doc_id)),
+        kept AS (SELECT doc_id, string_agg(p, '' ORDER BY run) AS p FROM parts GROUP BY doc_id),
+        totals AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.p, h))) AS kept_sha256
+        FROM docs d LEFT JOIN totals USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
 }
