@@ -5,7 +5,8 @@ A document that comes up for the e-th time in its source's shuffled order has th
 by that time and the order is cut where the words reach the budget. Sources that have given all their
 appearances leave the queue, and the others share what is left by weight.
 
-Cumulative sums never gather a source: words are summed per (source, slice of the shuffled order), the slice
+Cumulative sums never gather a source: words are summed per (source, slice of the shuffled order, which is a range of
+the keys that shuffle), the slice
 sums become offsets, and only a slice of about slice_rows rows is ordered at once (a larger one, sorted on disk if
 need be, where most_slices would be exceeded: the sums of a source's slices are ordered in one task).
 """
@@ -24,6 +25,12 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(seed: int, *columns: Column) -> Column:
+    """A number of 60 bits from the MD5 of the columns as text, null as empty: rows are shuffled by its order."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: list[int], weights: list[float], budget: float, repeats: int) -> list[float]:
     """Shares of the budget by weight; a share above repeats * size stops there and the rest is shared again."""
     out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(budget)
@@ -58,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share:
     spark = docs.sparkSession
     size = word_count(text_col)
     base = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size", "source")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", shuffle_key(seed, F.col("doc_id"), F.col("size"), F.col("source"))),
         "mix-sizes",
     )
     totals = base.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
@@ -72,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share:
 
     slices = min(most_slices, max(1, math.ceil(rows / slice_rows)))
     # A row per source, of which there are at most max_sources.
-    placed = base.join(F.broadcast(listed), base["source"].eqNullSafe(listed["__source"])).withColumn("slice", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(slices)))
+    placed = base.join(F.broadcast(listed), base["source"].eqNullSafe(listed["__source"])).withColumn("slice", F.floor(F.col("key") / F.lit(2**60 // slices + 1)))
     sums = placed.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))

@@ -19,7 +19,8 @@ from .toxicity import toxicity_scores
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_sources(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_jaccard_join, op3_exact_dedup, op4_toxicity, op5_quality, op6_suffix_dedup, op7_media_columns, op8_token_counts, op9_packing, op10_sharding)}
 
 ORACLES = {
+    "op1_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        src AS (SELECT source, sum(size)::BIGINT AS ss, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT AS sid FROM d GROUP BY source),
+        weighed AS (SELECT *, (sid % 3 + 1)::DOUBLE AS w, 3.0e0 * ss AS cap, sum(ss) OVER () AS budget FROM src),
+        ranked AS (SELECT *, cap / w AS r, budget - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+          sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM weighed),
+        level AS (SELECT arg_min(rest / open, r) FILTER (rest / open <= r) AS level FROM ranked),
+        goals AS (SELECT source, ss, sid, w, budget, least(cap, level * w) AS target FROM ranked, level),
+        keyed AS (SELECT d.doc_id, d.size, g.*, ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || size || '|' || coalesce(d.source, '')), 1, 15))::BIGINT AS key
+          FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+        flow AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS words FROM keyed),
+        queue AS (SELECT *, (words + e * ss) / w AS finish FROM flow, range(0, 3) t(e) WHERE size > 0),
+        served AS (SELECT *, sum(size) OVER (ORDER BY finish, sid, e, key, coalesce(doc_id, 0) ROWS UNBOUNDED PRECEDING) AS so_far FROM queue),
+        taken AS (SELECT doc_id, sid, key, count(*) AS copies FROM served WHERE so_far <= budget GROUP BY ALL)
+        SELECT f.doc_id, f.size, f.ss AS source_size, round(f.target, 6) AS target, (coalesce(t.copies, 0) * f.size)::BIGINT AS taken
+        FROM flow f LEFT JOIN taken t ON f.doc_id IS NOT DISTINCT FROM t.doc_id AND f.sid = t.sid AND f.key = t.key""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

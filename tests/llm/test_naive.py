@@ -1,5 +1,6 @@
 """Scores, mixes and fingerprints rebuilt naively."""
 
+import hashlib
 import math
 import random
 from collections import defaultdict
@@ -20,12 +21,10 @@ def test_fair_queue(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source")
     extra = spark.createDataFrame([(9001, "one two three", None), (9002, None, None), (None, "a b", "zzz")], "doc_id long, text string, source string")
     docs = docs.union(extra)
-    key = F.xxhash64(F.lit(11), "doc_id", "size", "source")
-    rows = docs.withColumn("size", mixing.word_count()).withColumn("key", key)
-    slices = max(1, math.ceil(docs.count() / 10))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(slices))).collect()
+    key = F.udf(lambda *x: int(hashlib.md5("|".join(["11", *("" if v is None else str(v) for v in x)]).encode()).hexdigest()[:15], 16), "long")
+    rows = docs.withColumn("size", mixing.word_count()).withColumn("key", key("doc_id", "size", "source")).collect()
     names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
-    by = {s: sorted((r for r in rows if r.source == s), key=lambda r: (r.slice, r.key, r.doc_id is None, r.doc_id or 0, r["size"])) for s in names}
+    by = {s: sorted((r for r in rows if r.source == s), key=lambda r: (r.key, r.doc_id is None, r.doc_id or 0, r["size"])) for s in names}
     sizes = [sum(r["size"] for r in by[s]) for s in names]
     weights = [(1, 2, 3)[k % 3] for k in range(len(names))]
     goal = mixing.targets(sizes, weights, sum(sizes), 3)
