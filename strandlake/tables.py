@@ -51,8 +51,9 @@ def release(spark: SparkSession) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows over the cores where df has fewer partitions than these, for work that costs far more than a
-    shuffle of its rows. Large inputs have enough partitions and stay where they are, as streams do."""
-    if df.isStreaming:
+    shuffle of its rows. Large inputs have enough partitions and stay where they are, as streams do, and what comes
+    from a shuffle: counting its partitions would run it."""
+    if df.isStreaming or re.search(r"\b(Repartition\w*|RebalancePartitions|Aggregate|Join|Window|Sort)\b", df._jdf.queryExecution().optimizedPlan().toString()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
