@@ -231,6 +231,15 @@ def peek(path: str, most_bytes: int = 256 * 1024) -> dict:
     return {"valid": ok, "first_length": lengths[0] if lengths else 0, "read_length": round(sum(lengths) / len(lengths)) if lengths else 150}
 
 
+def estimated_length(paths: list[str], default: int = 150, most_bytes: int = 4096) -> int:
+    """The length of the second line in the first bytes of the first file, or the default without one."""
+    if not paths:
+        return default
+    with open_bytes(paths[0]) as f:
+        rows = f.read(most_bytes).split(b"\n")
+    return len(rows[1].removesuffix(b"\r")) or default if len(rows) > 1 else default
+
+
 def check_name(path: str) -> None:
     if not path.lower().endswith(SUFFIXES):
         raise ValueError(f"{path}: expected a name ending in one of {', '.join(SUFFIXES)}")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions.seq import is_valid_record
-from strandlake.sources.fastq import FastqDataSource, duplicate_files, lines, peek, read_file, resilient_records, strict_records
+from strandlake.sources.fastq import FastqDataSource, duplicate_files, estimated_length, list_files, lines, peek, read_file, resilient_records, strict_records
 
 GOOD = b"@a x\nACGT\n+\nIIII\n"
 BROKEN = {
@@ -81,3 +81,13 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("fastq_rows").count() == 5
+
+
+def test_estimates_and_uris(tmp_path):
+    path = tmp_path / "a.fastq.gz"
+    path.write_bytes(gzip.compress(b"@r\r\n" + b"A" * 33 + b"\r\n+\n"))
+    empty = tmp_path / "b.fastq"
+    empty.write_bytes(b"")
+    assert estimated_length([str(path)]) == 33 and estimated_length([]) == estimated_length([str(empty)]) == 150
+    assert list_files(f"file://{tmp_path}") == [str(path), str(empty)] == list_files(str(tmp_path))
+    assert [len(r[2]) for r in read_file(f"file://{path}")] == [33]
