@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from itertools import product
 
+from strandlake.sources.derive import REFERENCE as _REF
+
 _C64 = "".join("".join(c) for c in product("TCAG", repeat=3))
 _AA = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
@@ -211,12 +213,6 @@ def _matrix() -> str:
     return f"WITH {_ST}, dt AS (SELECT aa, dna, sum(n) AS t FROM coll GROUP BY ALL), dm AS (SELECT aa, arg_min(dna, (-t, dna)) AS dom FROM dt GROUP BY aa) SELECT {', '.join(columns)} FROM st GROUP BY aa"
 
 
-_REF = (
-    "TACAGTACGTTAAACGTTTACGCTTCGCCCCCTCGTCGCTCCCCGGGACTTCCGCAAGAATTCGCATGGCATCGTGCACGCAGTAATGAGAACTATTGTGATGGACCATCGCACATAAGGGGGCAGGGGTCTAAACTCCGACTCATAGGC"
-    "GGCAACGGACCGCCAACACGCGAGTGTTGGATTGCATTGCAGCTAAGCTTCATATTTCGTAATCCGCAAACGGGCCGGTGTATTAGGAAGGTGATGCTCACAGATATGGAGTGTATACGTCTATATCGATATGGAGGGACGGGCTGCCTG"
-)
-
-
 def _hit(codon: str, wild: str) -> str:
     """The path over a substituted codon: M or X for each base."""
     return " || ".join(f"CASE substr({codon}, {i}, 1) WHEN '{wild[i - 1]}' THEN 'M' ELSE 'X' END" for i in (1, 2, 3))
