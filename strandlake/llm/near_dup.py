@@ -5,8 +5,11 @@ of 0.75). The join is exact and works in two rounds of regions.
 
 First the single shingles are the pivots. A document's distance to the pivot {s} is below 1 only if it holds s,
 ties go to the first in one order of all shingles (known frequent ones last), and the radius bounds how far down
-this order a document must be replicated so that every linked pair meets in a region. Regions only tell which
-documents belong together as candidates; their union is kept as stars, never as pairs.
+this order a document must be replicated so that every linked pair meets in a region, or in several: larger sets
+go a few regions further, and two of them are candidates only if they meet as often as linked ones must. Two unrelated
+texts that share one shingle so stay apart; else, in a large table, such chance meetings would chain most documents to
+one group. Pairs are counted in regions of few sets only, about as many as there are entries; the sets of a region
+that is beyond this are candidates at once, as a star.
 
 Then documents are the pivots: inside a group of candidates the documents within the radius of a pivot are its
 Voronoi region and linked through it. A document of another region is a boundary document of this one if its
@@ -31,6 +34,9 @@ from .common import binary_texts, on_workers, stage
 _MIX = (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 _CACHE_WORDS = 250_000
 _CHUNK = 1_500_000
+_MOST_MEETINGS = 8
+#: Pairs are counted in regions of at most so many sets, and so many pairs for each entry of a part.
+_MOST_PAIRED, _PAIRS_PER_ENTRY = 64, 2
 
 
 class _Words(dict):
@@ -190,12 +196,23 @@ def frequent_shingles(counts: DataFrame, most: int):
     return keys[order].astype(np.uint64), np.minimum(texts[order], 2**31).astype(np.uint32)
 
 
+def meetings(n, percent: int):
+    """In how many regions at least a set of n shingles meets each one of n or more that it is linked with. It grows
+    with n and never exceeds what the two share."""
+    import numpy as np
+
+    return np.minimum(_MOST_MEETINGS, 1 + 2 * percent * n // (100 + percent) // 32)
+
+
 def replicate(batches, width: int, percent: int, keys, texts, key_parts: int, parts: int):
     """text -> for each part of the shingles, packed entries (shingle, set, size) of the pivots a set goes to.
 
-    A set of n shingles that is linked with one of m <= n shares at least percent of n, so one of its first
-    n - ceil(percent n) + 1 shingles is shared; if it is the smaller one of a pair, so is one of its first
-    n - ceil(2 percent / (100 + percent) n) + 1, its core.
+    A set of n shingles that is linked with one of m <= n shares at least percent of n, so k of its first
+    n - ceil(percent n) + k shingles are shared; if it is the smaller one of a pair, so are k of its first
+    n - ceil(2 percent / (100 + percent) n) + k, its core. These k are the same for both: the first that they share
+    in the order of all shingles. k is meetings(n), which is the least for the smaller set.
+
+    The size has two bits below it: whether two pivots of the set share a key, as these are one region, and the core.
     """
     import numpy as np
     import pyarrow as pa
@@ -225,9 +242,11 @@ def replicate(batches, width: int, percent: int, keys, texts, key_parts: int, pa
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 late = keys[at] == key
                 h = np.concatenate([h[~late], h[late][np.argsort(texts[at[late]], kind="stable")]])
-            first = h[: n - -(-percent * n // 100) + 1]
-            core = n - -(-2 * percent * n // (100 + percent)) + 1
-            sizes = np.full(len(first), 2 * n, np.uint32)
+            k = int(meetings(n, percent))
+            first = h[: n - -(-percent * n // 100) + k]
+            core = n - -(-2 * percent * n // (100 + percent)) + k
+            region = (((first & np.uint64(0xFFFFFFFF)) % np.uint64(parts)) << np.uint64(32)) | (first >> np.uint64(32))
+            sizes = np.full(len(first), 4 * n + 2 * (len(np.unique(region)) < len(region)), np.uint32)
             sizes[:core] += 1
             held.append((first, np.full(len(first), node_of(d), np.int64), sizes))
             size += len(first)
@@ -256,38 +275,79 @@ def local_components(a, b):
 
 
 def region_edges(batches, percent: int):
-    """The entries, ordered by part -> stars (node, smallest node) over the sets that meet in a region. One part is
-    held at a time."""
+    """The entries, ordered by part -> pairs of sets (a, b; b is the smaller node) that meet in the part's regions: in
+    how many, and in how many of all parts they must to be candidates. What a large region holds is a star of pairs
+    that need no more. One part is held at a time."""
     import numpy as np
     import pyarrow as pa
 
-    def stars(held):
+    def table(a, b, shared, need):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.maximum(a, b), np.minimum(a, b), shared, need)], ["a", "b", "shared", "need"])
+
+    def met(held):
         s, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        entries = len(h)
         at = np.argsort((h.astype(np.uint64) << np.uint64(32)) | n)
         h, s, n = h[at], s[at], n[at]
-        core, size = (n & 1).astype(bool), (n >> 1).astype(np.int64)
         # A segment is a stretch of a region without a gap in size too wide for a link.
+        wide = (h[1:] == h[:-1]) & (100 * (n[:-1] >> 2).astype(np.int64) >= percent * (n[1:] >> 2).astype(np.int64))
+        some = np.zeros(len(h), bool)
+        some[1:] |= wide
+        some[:-1] |= wide
+        h, s, n = h[some], s[some], n[some]
+        at = np.lexsort((s, n, h))
+        h, s, n = h[at], s[at], n[at]
+        # Copies of a text have the same entries.
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+        h, s, n = h[fresh], s[fresh], n[fresh]
+        if len(h) < 2:
+            return
+        core, shaky, size = (n & 1).astype(bool), (n & 2).astype(bool), (n >> 2).astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:])
         segment = np.cumsum(new) - 1
-        has_core = np.bincount(segment, core) > 0
-        link = ~new[1:] & (s[1:] != s[:-1]) & has_core[segment[1:]]
+        count = np.bincount(segment)
+        order = np.argsort(count, kind="stable")
+        large = np.zeros(len(count), bool)
+        large[order] = np.cumsum(count[order] * (count[order] - 1) // 2) > _PAIRS_PER_ENTRY * entries
+        large |= count > _MOST_PAIRED
+
+        link = ~new[1:] & (s[1:] != s[:-1]) & (large & (np.bincount(segment, core) > 0))[segment[1:]]
         if link.any():
             nodes, root = local_components(s[:-1][link], s[1:][link])
             far = nodes != root
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
+            yield table(nodes[far], root[far], np.ones(far.sum()), np.zeros(far.sum()))
+
+        pairs, i, step = [], np.flatnonzero(~large[segment]), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(h)]
+            i = i[segment[i + step] == segment[i]]
+            j = i + step
+            # The smaller set comes first; of two of one size either core will do.
+            link = (s[i] != s[j]) & (100 * size[i] >= percent * size[j]) & (core[i] | (core[j] & (size[i] == size[j])))
+            p, q = i[link], j[link]
+            need = np.where(shaky[p] | shaky[q], 1, meetings(size[p], percent))
+            pairs.append((np.maximum(s[p], s[q]), np.minimum(s[p], s[q]), need))
+        if pairs and sum(len(x[0]) for x in pairs):
+            a, b, need = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            at = np.lexsort((b, a))
+            a, b, need = a[at], b[at], need[at]
+            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            yield table(a[start], b[start], np.diff([*start, len(a)]), np.minimum.reduceat(need, start))
 
     now, held = None, []
     for batch in batches:
         for part, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if part != now and held:
-                yield from stars(held)
+                yield from met(held)
                 held = []
             now = part
             n = len(entries) // 16
             held.append((np.frombuffer(entries, np.int64, n), np.frombuffer(entries, np.uint32, n, 8 * n), np.frombuffer(entries, np.uint32, n, 12 * n)))
     if held:
-        yield from stars(held)
+        yield from met(held)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -491,7 +551,9 @@ def candidates(texts: DataFrame, percent: int, width: int, frequent_texts: int,
     parts = max(at_least, total * (100 - percent) // 100 // part_entries + 1)
     entries = texts.select("text").mapInArrow(on_workers(replicate, width, percent, keys, often, key_parts, parts), "part long, entries binary")
     gathered = entries.repartition(min(parts, most_partitions), "part").sortWithinPartitions("part")
-    stars = connected(gathered.mapInArrow(on_workers(region_edges, percent), "a long, b long"))
+    pairs = gathered.mapInArrow(on_workers(region_edges, percent), "a long, b long, shared long, need long")
+    often = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
+    stars = connected(often.select("a", "b"))
     return sets, stars.select(F.col("a").alias("node"), F.col("b").alias("group")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
 
 
