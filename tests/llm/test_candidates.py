@@ -46,7 +46,7 @@ def test_linked_sets_are_candidates(monkeypatch, paired):
 
 
 def test_unrelated_texts_in_a_chain_of_shared_shingles_are_no_group(spark):
-    """Each text shares a shingle with the next one, as in large tables by chance: one group of all before."""
+    """Each text shares a shingle with the next one, as in large tables by chance."""
     texts = [" ".join([f"x{k}"] + [f"t{k}w{j}" for j in range(150)] + [f"x{k + 1}"]) for k in range(60)]
     near = [texts[7].replace("t7w3 ", ""), texts[30] + " more"]
     docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts + near)], "doc_id long, rid long, text string")
