@@ -32,46 +32,89 @@ from .common import binary_texts, on_workers, stage
 
 #: Odd multipliers of the words of a shingle, from the fractional parts of square roots.
 _MIX = (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
-_CACHE_WORDS = 250_000
 _CHUNK = 1_500_000
+_TOGETHER = 1 << 18
 _MOST_MEETINGS = 8
 #: Pairs are counted in regions of at most so many sets, and so many pairs for each entry of a part.
 _MOST_PAIRED, _PAIRS_PER_ENTRY = 64, 2
 
 
-class _Words(dict):
-    """The 64-bit hash of each word."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def hash_words(data):
+    """Where the words of some bytes start, and their 64-bit hashes. data: uint8, with a blank at each end.
 
+    All words take their next eight bytes together; the few of more than 64 bytes are hashed one by one."""
+    import numpy as np
+    import xxhash
 
-_WORDS = _Words()
+    blank = ((data >= 9) & (data <= 13)) | (data == 32)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    lower = np.zeros(len(data) + 8, np.uint8)
+    np.add(data, 32 * ((data >= 65) & (data <= 90)).astype(np.uint8), out=lower[: len(data)])
+    eights = np.ndarray(len(data), np.dtype("<u8"), lower, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def mixed(h):
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(_MIX[4] | 1)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(_MIX[2] | 1)
+        h ^= h >> np.uint64(32)
+        return h
+
+    hashes = mixed((eights[starts] & masks[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(_MIX[0]))
+    for at in range(8, 64, 8):
+        long = np.flatnonzero(lengths > at)
+        if not len(long):
+            break
+        hashes[long] = mixed(hashes[long] * np.uint64(_MIX[1]) + (eights[starts[long] + at] & masks[np.minimum(lengths[long] - at, 8)]))
+    for k in np.flatnonzero(lengths > 64).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(lower[starts[k] : starts[k] + lengths[k]].tobytes())
+    return starts, hashes
 
 
-def shingles(text: bytes, width: int = 5):
-    """The sorted 64-bit hashes of the distinct shingles; a text of fewer words is one shingle, no words none."""
+def mix_shingles(hashes, width: int):
+    """The hashes of all runs of width words."""
     import numpy as np
 
-    words = text.lower().split()
-    if len(_WORDS) > _CACHE_WORDS:
-        _WORDS.clear()
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    if not len(hashes):
-        return hashes
-    k = min(width, len(hashes))
-    out = np.full(len(hashes) - k + 1, k, np.uint64)
-    for j in range(k):
-        out += hashes[j : len(hashes) - k + 1 + j] * np.uint64(_MIX[j])
+    out = np.full(len(hashes) - width + 1, width, np.uint64)
+    for j in range(width):
+        out += hashes[j : len(hashes) - width + 1 + j] * np.uint64(_MIX[j])
     out ^= out >> np.uint64(31)
     out *= np.uint64(_MIX[0])
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[bytes], width: int = 5):
+    """For each text the sorted 64-bit hashes of its distinct shingles; a text of fewer words is one shingle, no words
+    none. Texts of about _TOGETHER bytes are hashed at once."""
+    import numpy as np
+
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= _TOGETHER):
+            size += len(texts[end]) + 1
+            end += 1
+        some = texts[at:end]
+        starts, hashes = hash_words(np.frombuffer(b" " + b" ".join(some) + b" ", np.uint8))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in some]) + 1).tolist()
+        runs = mix_shingles(hashes, width) if len(hashes) >= width else hashes[:0]
+        first = 0
+        for last in ends:
+            n = last - first
+            out = runs[first : last - width + 1].copy() if n >= width else mix_shingles(hashes[first:last], n) if n else hashes[:0]
+            out.sort()
+            same = out[1:] == out[:-1]
+            yield out[np.concatenate([[True], ~same])] if same.any() else out
+            first = last
+        at = end
+
+
+def shingles(text: bytes, width: int = 5):
+    """The set of one text, as shingle_sets has it."""
+    return next(shingle_sets([text], width))
 
 
 def digest(hashes) -> bytes:
@@ -106,10 +149,8 @@ def survey(batches, width: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def counted():
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        part, key = shingle_keys(values, parts)
-        at = np.argsort(key)
-        upper, counts, part = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts[at], 65535).astype(np.uint16), part[at].astype(np.int64)
+        key, counts = np.unique(shingle_keys(np.concatenate(held), parts)[1], return_counts=True)
+        upper, counts, part = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16), (key >> np.uint64(32)).astype(np.int64)
         keys, starts = np.unique(part, return_index=True)
         none = [None] * len(keys)
         return table(keys, none, none, none, none, none, [upper[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
@@ -118,8 +159,7 @@ def survey(batches, width: int, parts: int):
     for batch in batches:
         turn = batch.column(1)[0].as_py() % parts if turn is None and batch.num_rows else turn
         ns, digests = [], []
-        for text in binary_texts(batch.column(2)):
-            h = shingles(text, width)
+        for h in shingle_sets(binary_texts(batch.column(2)), width):
             d = digest(h)
             ns.append(len(h))
             digests.append(d)
@@ -201,7 +241,7 @@ def meetings(n, percent: int):
     with n and never exceeds what the two share."""
     import numpy as np
 
-    return np.minimum(_MOST_MEETINGS, 1 + 2 * percent * n // (100 + percent) // 32)
+    return np.minimum(_MOST_MEETINGS, 1 + 2 * percent * n // (100 + percent) // 8)
 
 
 def replicate(batches, width: int, percent: int, keys, texts, key_parts: int, parts: int):
@@ -229,19 +269,27 @@ def replicate(batches, width: int, percent: int, keys, texts, key_parts: int, pa
         blobs = [s[a:b].tobytes() + h[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["part", "entries"])
 
+    # Which hashes may be frequent, by 24 bits of theirs: most are not, and needn't be looked up.
+    maybe = np.zeros(1 << 24, bool)
+    maybe[(keys & np.uint64(0xFFFFFF)).astype(np.int64)] = True
+    maybe = np.packbits(maybe, bitorder="little")
+
     for batch in batches:
-        for text in binary_texts(batch.column(0)):
-            h = shingles(text, width)
+        for h in shingle_sets(binary_texts(batch.column(0)), width):
             n = len(h)
             d = digest(h)
             if not n or d in seen:
                 continue
             seen.add(d)
             if len(keys):
-                _, key = shingle_keys(h, key_parts)
+                upper = (h >> np.uint64(32)).astype(np.uint32)
+                look = np.flatnonzero((maybe[(upper & np.uint32(0xFFFFFF)) >> np.uint32(3)] >> (upper & np.uint32(7)).astype(np.uint8)) & np.uint8(1))
+                _, key = shingle_keys(h[look], key_parts)
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                late = keys[at] == key
-                h = np.concatenate([h[~late], h[late][np.argsort(texts[at[late]], kind="stable")]])
+                found = keys[at] == key
+                late = np.zeros(n, bool)
+                late[look[found]] = True
+                h = np.concatenate([h[~late], h[late][np.argsort(texts[at[found]], kind="stable")]])
             k = int(meetings(n, percent))
             first = h[: n - -(-percent * n // 100) + k]
             core = n - -(-2 * percent * n // (100 + percent)) + k
@@ -472,7 +520,7 @@ def solve(batches, width: int, percent: int):
     now, of, found, seen = None, None, {}, set()
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(5)]
-        for group, whole, doc, rid, key, text in zip(*columns, binary_texts(batch.column(5)), strict=True):
+        for group, whole, doc, rid, key, h in zip(*columns, shingle_sets(binary_texts(batch.column(5)), width), strict=True):
             if group != now:
                 if found:
                     yield solved(found, of)
@@ -480,7 +528,6 @@ def solve(batches, width: int, percent: int):
             if (doc, rid) in seen:
                 continue
             seen.add((doc, rid))
-            h = shingles(text, width)
             if digest(h) == key and (key not in found or found[key][0] is None or (doc is not None and doc < found[key][0])):
                 found[key] = doc, h
     if found:
@@ -502,12 +549,11 @@ def compare_with_pivots(batches, width: int):
 
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(4)]
-        for group, share, is_pivot, key, text in zip(*columns, binary_texts(batch.column(4)), strict=True):
+        for group, share, is_pivot, key, h in zip(*columns, shingle_sets(binary_texts(batch.column(4)), width), strict=True):
             if (group, share) != now:
                 now, pivots, seen, index = (group, share), {}, set(), None
             if key in (pivots if is_pivot else seen):
                 continue
-            h = shingles(text, width)
             if digest(h) != key:
                 continue
             if is_pivot:

@@ -52,3 +52,27 @@ def test_unrelated_texts_in_a_chain_of_shared_shingles_are_no_group(spark):
     docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts + near)], "doc_id long, rid long, text string")
     groups = candidates(docs, 75, 1, 3, 1000, 1_500_000, 4)[1]
     assert groups.count() == 4 and groups.select("group").distinct().count() == 2
+
+
+def test_short_unrelated_texts_in_a_chain_are_no_group(spark):
+    """Sets of 30 shingles: linked ones share 26 at least, so one shared by chance makes no candidates."""
+    texts = [" ".join([f"x{k}"] + [f"t{k}w{j}" for j in range(28)] + [f"x{k + 1}"]) for k in range(60)]
+    near = [texts[7].replace("t7w3 ", ""), texts[30] + " more"]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts + near)], "doc_id long, rid long, text string")
+    groups = candidates(docs, 75, 1, 3, 1000, 1_500_000, 4)[1]
+    assert groups.count() == 4 and groups.select("group").distinct().count() == 2
+
+
+def test_sets_of_texts_hashed_together():
+    """Words of all lengths up to 70 bytes, blanks and bytes of any kind: equal words, and only these, have equal hashes."""
+    rng = random.Random(4)
+    texts = [b"", b" \t", b"a", b"a\0", b"\0a", b"A b", b"a\x0b\x0c B ", b"a \xc2\xa0\x1c b", b"q" * 64, b"Q" * 65, b"q" * 66 + b" z"]
+    texts += [bytes(rng.choice(b"aAbB \t\n\0\x1c\xc3") for _ in range(rng.randint(0, 70))) for _ in range(500)]
+    texts += [b" ".join(rng.choice([b"n", b"NN", b"n" * 9, b"m" * 70]) for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    sets, seen = list(near_dup.shingle_sets(texts, 3)), {}
+    for text, found in zip(texts, sets, strict=True):
+        words = text.lower().split()
+        naive = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+        assert len(found) == len(naive) and (shingles(text, 3) == found).all()
+        assert seen.setdefault(frozenset(naive), found.tobytes()) == found.tobytes()
+    assert len(set(seen.values())) == len(seen)
